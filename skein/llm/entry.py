@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import curriculum
+from . import curriculum, oggmedia
 
 QUERIES = {
+    "op3_ogg_media": oggmedia.op3_ogg_media,
     "op4_curriculum_mix": curriculum.op4_curriculum_mix,
 }
 SQL = {
