@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import held_out, sample
 from .staging import small_batches
@@ -145,7 +146,7 @@ def scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     name = "toxicity" if "toxicity" not in docs.columns else "toxicity_score"
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
