@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import curriculum, oggmedia, toxicity
+from . import curriculum, oggmedia, quality, toxicity
 
 QUERIES = {
+    "op2_byte_conv_quality": quality.op2_byte_conv_quality,
     "op6_factorization_toxicity": toxicity.op6_factorization_toxicity,
     "op3_ogg_media": oggmedia.op3_ogg_media,
     "op4_curriculum_mix": curriculum.op4_curriculum_mix,
