@@ -27,7 +27,7 @@ from .textbytes import ALNUM, as_bytes, chunks, joined, prefix_hash, span_hash,
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
 #: Bounds of the training sample and of the model.
-SAMPLE_DOCS, SAMPLE_BYTES = 8000, 1 << 16
+SAMPLE_DOCS, SAMPLE_BYTES = 6000, 1 << 15
 MIN_DOCS, SIGMAS, MAX_TERMS, RANK = 4, 3.0, 1 << 14, 6
 #: Lengths in bytes of the stems that stand beside whole words.
 STEMS = (4, 5, 6)
