@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bytebpe, curriculum, langid, oggmedia, quality, toxicity
+from . import bytebpe, curriculum, langid, oggmedia, quality, spotsigs, toxicity
 
 QUERIES = {
+    "op1_spot_signatures": spotsigs.op1_spot_signatures,
     "op10_marginal_langid": langid.op10_marginal_langid,
     "op5_two_tier_bpe": bytebpe.op5_two_tier_bpe,
     "op2_byte_conv_quality": quality.op2_byte_conv_quality,
