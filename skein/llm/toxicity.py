@@ -172,5 +172,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents that the machine, trained on their own labelled rows, rejects."""
+    out = scored(docs, train(docs, labels))
+    return out.filter(F.col(out.columns[-1]) < THRESHOLD).select(*docs.columns)
+
+
 def op6_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
