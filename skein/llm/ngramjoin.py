@@ -28,13 +28,14 @@ from .components import components
 from .staging import drop_staged, small_batches, staged
 from .textbytes import as_bytes, chunks, joined, mixed, prefix_hash, span_hash, word_spans
 
-LEVELS = 3
-#: Estimated meetings of a prefix from which L grows by one, and again.
-COSTS = (48, 400)
+LEVELS = 4
+#: Estimated meetings of a prefix from which L grows by one, each time.
+COSTS = (4, 16, 64)
 #: Shingles of one task that are counted together, and counts that are passed on.
-COUNTED, PASSED_ON = 1 << 22, 3
-#: Entries of the broadcast table of frequent shingles.
-FREQUENT, MOST_FREQUENT = 24, 1 << 19
+COUNTED, PASSED_ON = 1 << 22, 2
+#: The broadcast estimate: counts of the most frequent shingles, and one bit for all that were seen
+#: to repeat, by the first bits of the hash.  Both are of fixed size; a full table only costs time.
+FREQUENT, MOST_FREQUENT, BITS, SLICES = 24, 1 << 18, 26, 64
 STAR_ROUNDS = 2
 
 
@@ -93,33 +94,57 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, value long, kind int")
 
 
-def prefix_table(docs: DataFrame, width: int, percent: int, frequent: list) -> DataFrame:
+def repeat_bits(counts: DataFrame) -> np.ndarray:
+    """One bit for each cell of the first ``BITS`` bits of a hash: whether a repeated shingle falls into it."""
+    cells = (1 << BITS) // SLICES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+            for k in np.unique(cell // cells).tolist():
+                own = marks.setdefault(k, np.zeros(cells, bool))
+                own[cell[cell // cells == k] % cells] = True
+        packed = [np.packbits(m).tobytes() for m in marks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "bits"])
+
+    slices = F.shiftrightunsigned("value", 64 - SLICES.bit_length() + 1)
+    rows = counts.select("value").repartition(SLICES, slices).mapInArrow(work, "slice int, bits binary").toArrow()
+    out = np.zeros((SLICES, cells // 8), np.uint8)
+    for k, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[k] |= np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def prefix_table(docs: DataFrame, width: int, percent: int, frequent: pa.Table, bits: np.ndarray) -> DataFrame:
     """(token, node, n, level, need): the shingles of each set's longest prefix, with the L at which they enter and the L that it asks for."""
     spark = docs.sparkSession
     small_batches(spark)
-    keys = np.array([r.value for r in frequent], np.int64).view(np.uint64)
+    keys = frequent.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], np.array([r.n for r in frequent], np.int64)[order]))
+    shared = spark.sparkContext.broadcast((keys[order], frequent.column(1).to_numpy()[order], bits))
     names = ["token", "node", "n", "level", "need"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
+        keys, counts, bits = shared.value
         for batch in batches:
             for i, j, shingle, doc in shingle_sets(as_bytes(batch.column(0)), width):
                 n = np.bincount(doc, minlength=j - i)
                 node = np.zeros(j - i, np.uint64)
                 np.add.at(node, doc, mixed(shingle))
-                often = np.zeros(len(shingle), np.int64)
-                if len(keys):
-                    k = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
-                    often = np.where(keys[k] == shingle, counts[k], 0)
+                cell = (shingle >> np.uint64(64 - BITS)).astype(np.int64)
+                often = ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(np.int64) * 2
+                seen = np.flatnonzero(often)
+                if len(keys) and len(seen):
+                    k = np.minimum(np.searchsorted(keys, shingle[seen]), len(keys) - 1)
+                    often[seen] = np.where(keys[k] == shingle[seen], counts[k], 2)
                 order = np.lexsort((shingle, often, doc))
                 shingle, often = shingle[order], often[order]
                 place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
                 least = -(-n * percent // 100)
                 level = np.maximum(1, place + 1 - (n - least)[doc])
                 cost = np.bincount(doc[level == 1], often[level == 1], j - i)
-                need = np.minimum(1 + (cost > COSTS[0]) + (cost > COSTS[1]), np.maximum(least, 1))
+                need = np.minimum(1 + sum((cost > c).astype(np.int64) for c in COSTS), np.maximum(least, 1))
                 own = level <= LEVELS
                 yield pa.RecordBatch.from_arrays(
                     [_signed(shingle[own]), _signed(mixed(node)[doc[own]]), pa.array(n[doc[own]]), pa.array(level[own]), pa.array(need[doc[own]])], names=names
@@ -152,11 +177,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id: the smallest id reachable by links of at least ``percent`` % Jaccard."""
     counted = staged(set_table(docs, width), "sets")
     sets = counted.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("value").alias("node"))
-    frequent = counted.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    frequent = frequent.orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).collect()
+    repeats = counted.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n"))
+    frequent = repeats.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).toArrow()
+    bits = repeat_bits(counted.filter("kind = 1"))
     classes = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
-    prefixes = prefix_table(docs, width, percent, frequent).repartition("token")
+    prefixes = prefix_table(docs, width, percent, frequent, bits).repartition("token")
     meet = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
     met = prefixes.join(meet, "token").distinct().join(classes, "node")
     met = staged(met.select("token", F.col("rep").alias("id"), "n", "level", "need").filter("id IS NOT NULL"), "met")
@@ -174,7 +200,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if turn < STAR_ROUNDS:
             pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "part"), F.xxhash64("id", F.lit(turn))).alias("p"))
             star = now.join(pivot, "token").filter((F.col("part") != F.col("p.part")) & fits(F.col("n"), F.col("p.n")))
-            pairs = star.select(F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b")).distinct()
+            pairs = star.groupBy(F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+            # near copies share most of a prefix; pairs that meet in less are left to the exact turn
+            pairs = pairs.filter(F.col("shared") >= F.least(F.lit(LEVELS), F.col("n"))).select("a", "b")
         else:
             parts = now.groupBy("token", "part").agg(F.count("*").alias("k"))
             largest = parts.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
