@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import event_queries, model_queries  # noqa: F401  (each registers its queries)
+from .base import QUERIES, SQL  # noqa: F401
+
 FLAGSHIP = "q_w2_prefixes"
