@@ -19,14 +19,24 @@ def event_signature(token: Column, keys: Column) -> Column:
     return F.concat(token, F.lit("|json="), joined)
 
 
+def json_source(payload: Column) -> Column:
+    """The payload's text; blank is an empty object."""
+    return F.coalesce(F.nullif(py_strip(payload), F.lit("")), F.lit("{}"))
+
+
+def parsed_json(payload: Column) -> Column:
+    """The payload as a variant, null unless its whole text is one JSON value."""
+    inside = F.try_parse_json(F.concat(F.lit("["), json_source(payload), F.lit("]")))
+    return F.when(F.try_variant_get(inside, "$[1]", "variant").isNull(), F.try_variant_get(inside, "$[0]", "variant"))
+
+
 def payload_leaves(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """(event_json) to (event_json, place, path, kind, text, number): leaves in document order, keys sorted.
 
     A fixed chain of outer explodes, one per level; what lies beyond ``max_depth`` is one leaf with
     the text ``__max_depth__``.  Payloads that do not parse have no leaves.
     """
-    source = F.coalesce(F.nullif(py_strip(F.col("event_json")), F.lit("")), F.lit("{}"))
-    df = payloads.select("event_json", F.try_parse_json(source).alias("v"))
+    df = payloads.select("event_json", parsed_json(F.col("event_json")).alias("v"))
     nested = "(schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%')"
     df = df.filter("v IS NOT NULL").selectExpr("event_json", "v", "'' AS path", "cast(array() AS array<int>) AS ord", f"{nested} AS open")
     rooted = F.expr("schema_of_variant(v) LIKE 'OBJECT%'")  # any other root stands below one key of its own
@@ -63,6 +73,19 @@ def _explode_level(df: DataFrame, deeper: str) -> DataFrame:
     )
 
 
+def payload_keys(payloads: DataFrame) -> DataFrame:
+    """Distinct payloads to top keys, canonical text and error, without walking the leaves."""
+    source = json_source(F.col("event_json"))
+    parsed = payloads.select("event_json", parsed_json(F.col("event_json")).alias("v")).withColumn("object", F.coalesce(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), F.lit(False)))
+    keys = F.when(F.col("object"), F.transform(F.array_sort(F.json_object_keys(source)), lambda k: normalize_path_part(k))).when(F.col("v").isNull(), F.array().cast("array<string>"))
+    return parsed.select(
+        "event_json",
+        keys.otherwise(F.array(F.lit("__root__"))).alias("json_top_keys"),
+        F.when(F.col("v").isNull(), F.lit("{}")).when(F.col("object"), F.to_json("v")).otherwise(F.concat(F.lit('{"__root__":'), F.to_json("v"), F.lit("}"))).alias("event_json_canonical"),
+        F.when(F.col("v").isNull(), F.lit("invalid JSON")).otherwise(F.lit("")).alias("json_parse_error"),
+    )
+
+
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Distinct payloads to top keys, leaf paths, attribute and number tokens, canonical text and error."""
     leaves = payload_leaves(payloads)
@@ -80,16 +103,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
         F.flatten(by_place(F.array_compact(F.array(F.concat(F.lit("path="), "path"), "cat")))).alias("attribute_tokens"),
         F.array_compact(by_place(F.col("num"))).alias("numeric_bucket_tokens"),
     )
-    source = F.coalesce(F.nullif(py_strip(F.col("event_json")), F.lit("")), F.lit("{}"))
-    v = F.try_parse_json(source)
-    parsed = payloads.select("event_json", v.alias("v")).withColumn("object", F.coalesce(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), F.lit(False)))
-    keys = F.when(F.col("object"), F.transform(F.array_sort(F.json_object_keys(source)), lambda k: normalize_path_part(k))).when(F.col("v").isNull(), F.array().cast("array<string>"))
-    parsed = parsed.select(
-        "event_json",
-        keys.otherwise(F.array(F.lit("__root__"))).alias("json_top_keys"),
-        F.when(F.col("v").isNull(), F.lit("{}")).when(F.col("object"), F.to_json("v")).otherwise(F.concat(F.lit('{"__root__":'), F.to_json("v"), F.lit("}"))).alias("event_json_canonical"),
-        F.when(F.col("v").isNull(), F.lit("invalid JSON")).otherwise(F.lit("")).alias("json_parse_error"),
-    )
+    parsed = payload_keys(payloads)
     empty = F.array().cast("array<string>")
     joined = parsed.join(grouped, "event_json", "left")
     return joined.select(
@@ -98,6 +112,13 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     )
 
 
+def with_signatures(events: DataFrame) -> DataFrame:
+    """Events with token and signature only."""
+    keys = payload_keys(events.select("event_json").distinct()).select("event_json", "json_top_keys")
+    df = events.join(keys, "event_json").withColumn("event_token", event_token(F.col("event_name")))
+    return df.withColumn("event_signature", event_signature(F.col("event_token"), F.col("json_top_keys")))
+
+
 def normalize_events(events: DataFrame) -> DataFrame:
     """Events with token, signature and the parsed payload's columns."""
     parsed = parse_payloads(events.select("event_json").distinct())

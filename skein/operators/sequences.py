@@ -6,25 +6,27 @@ collected last, so that a user with very many events never becomes one long arra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.timing import time_gap_id
 
-BY_USER = Window.partitionBy("user_id")
-ORDER = BY_USER.orderBy("event_timestamp", F.asc_nulls_last("session_id"), "event_token_id")
+
+def in_order() -> WindowSpec:
+    """Events of a user by time, session (text order, nulls last) and token."""
+    return Window.partitionBy("user_id").orderBy("event_timestamp", F.asc_nulls_last("session_id"), "event_token_id")
 
 
 def ordered(events: DataFrame) -> DataFrame:
     """Events with rn, the user's event count, next token, gap to and session change from the event before."""
-    session = F.coalesce("session_id", F.lit("None"))
+    session, order = F.coalesce("session_id", F.lit("None")), in_order()
     return events.select(
         "*",
-        F.row_number().over(ORDER).alias("rn"),
-        F.count("*").over(BY_USER).alias("num_events_total"),
-        F.lead("event_token_id").over(ORDER).alias("next_token"),
-        (F.col("event_timestamp") - F.lag("event_timestamp").over(ORDER)).alias("gap"),
-        (session != F.lag(session).over(ORDER)).cast("int").alias("session_change"),
+        F.row_number().over(order).alias("rn"),
+        F.count("*").over(Window.partitionBy("user_id")).alias("num_events_total"),
+        F.lead("event_token_id").over(order).alias("next_token"),
+        (F.col("event_timestamp") - F.lag("event_timestamp").over(order)).alias("gap"),
+        (session != F.lag(session).over(order)).cast("int").alias("session_change"),
     )
 
 

@@ -38,13 +38,17 @@ def normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalize_events(tables.events(spark, d))
 
 
+def signed(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.with_signatures(tables.events(spark, d))
+
+
 def event_vocab(events: DataFrame) -> DataFrame:
     return vocab.build_vocab(vocab.frequencies(events, "event_signature"))
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Events with their token id."""
-    events = normalized(spark, d).select("user_id", "event_timestamp", "session_id", "event_signature")
+    events = signed(spark, d).select("user_id", "event_timestamp", "session_id", "event_signature")
     return vocab.encode_tokens(events, event_vocab(events), "event_signature")
 
 

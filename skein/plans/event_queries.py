@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import GAP_BOUNDS, hash_share, hash_split, rounded_long, time_gap_id
 from ..operators import labels, normalize, sequences, splits, vocab
 from ..sources import files, tables
-from .base import DAYS, LAST_N, LENGTHS, MIN_EVENTS, SPANS, common, event_vocab, normalized, prefixes, query, sequence, text, tokens
+from .base import DAYS, LAST_N, LENGTHS, MIN_EVENTS, SPANS, common, event_vocab, normalized, prefixes, query, sequence, signed, text, tokens
 
 
 # ---- scans and sources
@@ -36,7 +36,7 @@ def s7(spark, d):
 
 @query("q_s8_frequency_table", common("SELECT token, count FROM freq"))
 def s8(spark, d):
-    return vocab.frequencies(normalized(spark, d), "event_signature")
+    return vocab.frequencies(signed(spark, d), "event_signature")
 
 
 @query("q_s10_sorted_export", common("SELECT user_id, event_timestamp, session_id, event_token_id FROM sq"))
@@ -148,7 +148,7 @@ def a1(spark, d):
 
 @query("q_a2_vocab", common("SELECT token, CAST(id AS BIGINT) AS id FROM voc"))
 def a2(spark, d):
-    return event_vocab(normalized(spark, d))
+    return event_vocab(signed(spark, d))
 
 
 @query("q_a2_word_vocab", """WITH f AS (SELECT token, count(*) AS c FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM conversations) GROUP BY 1 HAVING count(*) >= 2)
@@ -311,7 +311,7 @@ def u1(spark, d):
 @query("q_u3_vocab_without_special", common("SELECT token FROM voc EXCEPT SELECT * FROM (VALUES ('[PAD]'), ('[UNK]'), ('[MASK]'), ('[CLS]'))"))
 def u3(spark, d):
     special = spark.createDataFrame([(t,) for t in vocab.SPECIAL_TOKENS], "token string")
-    return event_vocab(normalized(spark, d)).select("token").join(F.broadcast(special), "token", "left_anti")
+    return event_vocab(signed(spark, d)).select("token").join(F.broadcast(special), "token", "left_anti")
 
 
 # ---- functions on columns
