@@ -18,7 +18,7 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return tokens.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("count"))
 
 
-def global_row_number(df: DataFrame, number: str, *order, runs: int = 64) -> DataFrame:
+def global_row_number(df: DataFrame, number: str, *order, runs: int = 16) -> DataFrame:
     """Row numbers from 0 over the whole table in the given order, without one task that sorts it all.
 
     Rows are range-partitioned and numbered inside their range; the few range sizes are summed and joined.

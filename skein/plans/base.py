@@ -57,10 +57,10 @@ def sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefixes(spark: SparkSession, d: str, lengths: list[int] = LENGTHS) -> DataFrame:
-    """Prefix arrays with split and retention labels."""
+    """Prefix arrays with split and retention labels: a table of the model, kept as several steps read it."""
     seq = sequence(spark, d)
     out = sequences.prefixes(seq, lengths).join(labels.prefix_labels(seq, lengths, DAYS), PREFIX_KEYS)
-    return out.withColumn("split", hash_split(F.col("user_id")))
+    return out.withColumn("split", hash_split(F.col("user_id"))).persist()
 
 
 def text(c: str):

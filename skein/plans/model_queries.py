@@ -525,5 +525,5 @@ def st1(spark, d):
         rows = df.na.drop(subset=["user_id", "event_type"])
         return rows.select(F.col("user_id").cast("string").alias("user_id"), normalize.event_token(F.col("event_type")).alias("event_token"))
 
-    ingest_new_files(spark, f"{d}/events.parquet", schema, stages, f"{path}/out", f"{path}/checkpoint", f"{path}/audit")
+    ingest_new_files(spark, f"{d}/events.parque[t]", schema, stages, f"{path}/out", f"{path}/checkpoint", f"{path}/audit")
     return spark.read.parquet(f"{path}/out").drop("batch")
