@@ -1,8 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is its set of word shingles.  Shingles are ordered by estimated frequency, then hash.
-Sets that reach the threshold share at least L of the first ``n - ceil(t n) + L`` shingles of each,
-for every L; a document whose prefix meets many others (by the estimate) takes a longer prefix and
+Two sets of n and m that reach the threshold share ``o = ceil(t / (1 + t) (n + m))`` shingles, and so
+at least L of the first ``n - o + L`` and ``m - o + L`` of each, for every L; a document whose prefix meets many others (by the estimate) takes a longer prefix and
 asks for L > 1 shared shingles before its candidates are verified on the whole sets.
 
 Documents with one set are one class from the start.  Classes that meet on a shingle are first
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -117,13 +117,13 @@ def repeat_bits(counts: DataFrame) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, width: int, percent: int, frequent: pa.Table, bits: np.ndarray) -> DataFrame:
-    """(token, node, n, level, need): the shingles of each set's longest prefix, with the L at which they enter and the L that it asks for."""
+    """(token, node, n, place, need): the shingles of each set's longest prefix with their places in its order, and the L that it asks for."""
     spark = docs.sparkSession
     small_batches(spark)
     keys = frequent.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], frequent.column(1).to_numpy()[order], bits))
-    names = ["token", "node", "n", "level", "need"]
+    names = ["token", "node", "n", "place", "need"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, bits = shared.value
@@ -141,16 +141,16 @@ def prefix_table(docs: DataFrame, width: int, percent: int, frequent: pa.Table,
                 order = np.lexsort((shingle, often, doc))
                 shingle, often = shingle[order], often[order]
                 place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-                least = -(-n * percent // 100)
-                level = np.maximum(1, place + 1 - (n - least)[doc])
-                cost = np.bincount(doc[level == 1], often[level == 1], j - i)
+                least = -(-n * percent // 100)  # no partner shares fewer
+                first = place <= (n - least)[doc]
+                cost = np.bincount(doc[first], often[first], j - i)
                 need = np.minimum(1 + sum((cost > c).astype(np.int64) for c in COSTS), np.maximum(least, 1))
-                own = level <= LEVELS
+                own = place < (n - least)[doc] + LEVELS
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(shingle[own]), _signed(mixed(node)[doc[own]]), pa.array(n[doc[own]]), pa.array(level[own]), pa.array(need[doc[own]])], names=names
+                    [_signed(shingle[own]), _signed(mixed(node)[doc[own]]), pa.array(n[doc[own]]), pa.array(place[own]), pa.array(need[doc[own]])], names=names
                 )
 
-    return docs.select("text").mapInArrow(work, "token long, node long, n long, level long, need long")
+    return docs.select("text").mapInArrow(work, "token long, node long, n long, place long, need long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -182,12 +182,17 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bits = repeat_bits(counted.filter("kind = 1"))
     classes = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
-    prefixes = prefix_table(docs, width, percent, frequent, bits).repartition("token")
-    meet = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
-    met = prefixes.join(meet, "token").distinct().join(classes, "node")
-    met = staged(met.select("token", F.col("rep").alias("id"), "n", "level", "need").filter("id IS NOT NULL"), "met")
+    by_token = Window.partitionBy("token")
+    prefixes = prefix_table(docs, width, percent, frequent, bits)
+    met = prefixes.select("*", F.min("node").over(by_token).alias("low"), F.max("node").over(by_token).alias("high")).filter("low <> high")
+    met = met.select("token", "node", "n", "place", "need").distinct().join(classes, "node")
+    met = staged(met.select("token", F.col("rep").alias("id"), "n", "place", "need").filter("id IS NOT NULL"), "met")
+
+    def meets(n, place, m, place_m, levels):
+        """Whether sets of n and m, which must share ``overlap``, can count this meeting among their first L."""
+        overlap = F.ceil(percent * (n + m) / (100 + percent))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (place < n - overlap + levels) & (place_m < m - overlap + levels)
 
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     links = None
     labels = None
     for turn in range(STAR_ROUNDS + 1):
@@ -198,8 +203,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             mixed_tokens = now.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
             now = now.join(mixed_tokens, "token")
         if turn < STAR_ROUNDS:
-            pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "part"), F.xxhash64("id", F.lit(turn))).alias("p"))
-            star = now.join(pivot, "token").filter((F.col("part") != F.col("p.part")) & fits(F.col("n"), F.col("p.n")))
+            pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "part"), F.xxhash64("id", F.lit(turn))).alias("p"))
+            star = now.join(pivot, "token").filter((F.col("part") != F.col("p.part")) & meets(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), LEVELS))
             pairs = star.groupBy(F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("n"))
             # near copies share most of a prefix; pairs that meet in less are left to the exact turn
             pairs = pairs.filter(F.col("shared") >= F.least(F.lit(LEVELS), F.col("n"))).select("a", "b")
@@ -207,11 +212,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             parts = now.groupBy("token", "part").agg(F.count("*").alias("k"))
             largest = parts.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
             outside = now.join(largest, "token").filter("part <> largest").drop("largest")
-            other = now.select("token", *[F.col(c).alias(f"{c}_o") for c in ("id", "n", "level", "need", "part")])
+            other = now.select("token", *[F.col(c).alias(f"{c}_o") for c in ("id", "n", "place", "need", "part")])
             # the larger set probes with the L it asks for; of equals the larger id
             probes = F.struct("n", "id") > F.struct(F.col("n_o").alias("n"), F.col("id_o").alias("id"))
             need = F.when(probes, F.col("need")).otherwise(F.col("need_o"))
-            cross = outside.join(other, "token").filter((F.col("part") != F.col("part_o")) & fits(F.col("n"), F.col("n_o")) & (F.greatest("level", "level_o") <= need))
+            cross = outside.join(other, "token").filter((F.col("part") != F.col("part_o")) & meets(F.col("n"), F.col("place"), F.col("n_o"), F.col("place_o"), need))
             cross = cross.select(F.least("id", "id_o").alias("a"), F.greatest("id", "id_o").alias("b"), "token", need.alias("need"))
             pairs = cross.groupBy("a", "b").agg(F.countDistinct("token").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("a", "b")
         found = staged(verified(staged(pairs, "pairs"), docs, width, percent), "links")
