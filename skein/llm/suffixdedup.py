@@ -355,9 +355,9 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut from the texts; a broken character at a cut goes too.  Null texts stay null."""
-    rows = _keyed(docs)
+    rows = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     joined = rows.join(repeated_spans(rows.select("key", "mark", "text")).hint("shuffle_hash"), ["key", "mark"], "left")
-    joined = joined.select(*[rows[c] for c in docs.columns], "spans")
+    joined = joined.select("row.*", "spans")
     at = docs.columns.index("text")
     schema = T.StructType(docs.schema.fields)
 
@@ -368,7 +368,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 for text, blobs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
             ]
             columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return joined.mapInArrow(work, schema)
 
