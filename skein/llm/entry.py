@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bytebpe, curriculum, langid, ngramjoin, oggmedia, quality, spotsigs, suffixdedup, toxicity
+from . import bloomlm, bytebpe, curriculum, langid, ngramjoin, oggmedia, quality, spotsigs, suffixdedup, toxicity
 
 QUERIES = {
+    "op7_log_bloom_lm": bloomlm.op7_log_bloom_lm,
     "op9_induced_suffix_dedup": suffixdedup.op9_induced_suffix_dedup,
     "op8_adaptive_prefix_join": ngramjoin.op8_adaptive_prefix_join,
     "op1_spot_signatures": spotsigs.op1_spot_signatures,
