@@ -203,7 +203,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             mixed_tokens = now.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
             now = now.join(mixed_tokens, "token")
         if turn < STAR_ROUNDS:
-            pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "part"), F.xxhash64("id", F.lit(turn))).alias("p"))
+            # the most central set of a shingle has the fewest rare shingles before it
+            choice = now
+            for _ in range(turn):
+                first = choice.groupBy("token").agg(F.min_by("part", F.struct("place", F.xxhash64("id"))).alias("first"))
+                choice = choice.join(first, "token").filter("part <> first").drop("first")
+            pivot = choice.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "part"), F.struct("place", F.xxhash64("id"))).alias("p"))
             star = now.join(pivot, "token").filter((F.col("part") != F.col("p.part")) & meets(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), LEVELS))
             pairs = star.groupBy(F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("n"))
             # near copies share most of a prefix; pairs that meet in less are left to the exact turn
