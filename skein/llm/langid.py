@@ -183,6 +183,10 @@ def train(docs: DataFrame, path: str | None = None) -> Identifier:
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(FOLDS, FOLD))
     shares = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     fits = known.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("lang", "text", F.xxhash64("doc_id").alias("order"))
+    if shares:  # most rows of a frequent language cannot be among the first; only a few times the sample is ranked
+        last = {k: min((1 << 63) - 1, (1 << 64) * 4 * SAMPLE_DOCS // n - (1 << 63)) for k, n in shares.items()}
+        limits = F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+        fits = fits.filter(F.col("order") <= limits[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("order", "text")
     rows = fits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).collect()
     by: dict[str, list[str]] = {lang: [] for lang in shares}
