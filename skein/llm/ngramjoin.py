@@ -28,9 +28,8 @@ from .components import components
 from .staging import drop_staged, small_batches, staged
 from .textbytes import as_bytes, chunks, joined, mixed, prefix_hash, span_hash, word_spans
 
-LEVELS = 4
-#: Estimated meetings of a prefix from which L grows by one, each time.
-COSTS = (4, 16, 64)
+#: The longest L; L grows by two with each doubling of the estimated meetings of a prefix.
+LEVELS = 12
 #: Shingles of one task that are counted together, and counts that are passed on.
 COUNTED, PASSED_ON = 1 << 22, 2
 #: The broadcast estimate: counts of the most frequent shingles, and one bit for all that were seen
@@ -144,7 +143,7 @@ def prefix_table(docs: DataFrame, width: int, percent: int, frequent: pa.Table,
                 least = -(-n * percent // 100)  # no partner shares fewer
                 first = place <= (n - least)[doc]
                 cost = np.bincount(doc[first], often[first], j - i)
-                need = np.minimum(1 + sum((cost > c).astype(np.int64) for c in COSTS), np.maximum(least, 1))
+                need = np.minimum(np.minimum(1 + 2 * np.floor(np.log2(1.0 + cost)).astype(np.int64), LEVELS), np.maximum(least, 1))
                 own = place < (n - least)[doc] + LEVELS
                 yield pa.RecordBatch.from_arrays(
                     [_signed(shingle[own]), _signed(mixed(node)[doc[own]]), pa.array(n[doc[own]]), pa.array(place[own]), pa.array(need[doc[own]])], names=names
