@@ -1,39 +1,36 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs of the training texts are gathered exactly, by hash.  A count c goes
+Counts of all words and word pairs of the training texts are gathered exactly, by hash.  A count c goes
 into the filter as q = 1 + floor(log2 c) entries (n-gram, 1..q); a reader probes 1, 2, ... until one
-is absent and so finds q again.  The filter is dealt by the first bits of the hash, each part built
-where its counts are, and broadcast; its size is bounded by ``MOST_BITS``, n-grams below the
-smallest count that fits are left out.  A token's probability is the pair estimate, interpolated
-with the word estimate (add one) by how often its history was seen.
-
-The base score needs exact word counts: the most frequent words, at most ``HEAD``, are broadcast
-and the tokens beyond them joined.  A text is its words, ASCII lower-cased, and one end token; null
-and empty texts are the end token alone.  Without training rows all counts are 0.  Repeated rows
-count as often as they occur.  Words are told apart by 64-bit hashes.
+is absent and so finds q again.  The filter is dealt by the first bits of the hash and sized by its
+entries, so it grows with the input and is never held in one place: texts are dealt into blocks, each
+block sends its distinct n-grams with their counts to the buckets, each bucket adds the counts up,
+builds its part of the filter, probes it and sends q back.  A token's probability is the pair estimate,
+interpolated with the word estimate (add one) by how often its history was seen.
+
+The base score needs exact word counts, which the buckets send along.  A text is its words, ASCII
+lower-cased, and one end token; null and empty texts are the end token alone.  Without training rows
+all counts are 0.  Repeated rows count as often as they occur.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out
-from .staging import small_batches, staged
+from .staging import small_batches
 from .textbytes import as_bytes, chunks, joined, mixed, prefix_hash, span_hash, word_spans
 
 FOLDS, FOLD = 7, 2
 END, BEGIN = np.uint64(0x5EED5EED5EED0001), np.uint64(0x5EED5EED5EED0002)
-#: Text bytes for one bucket of counts; buckets are a power of two.
-BUCKET_BYTES = 8 << 20
-#: N-grams that one task counts together before it passes them on.
-COUNTED = 1 << 22
+#: Text bytes for one bucket of counts, a power of two of them; and for one block of texts.
+BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
+#: N-grams of a bucket that are probed at once.
 HEAD = 1 << 20
-MOST_BITS, BITS_EACH, PROBES = 1 << 27, 12, 4
+BITS_EACH, PROBES = 12, 4
 LEVELS = 32
 #: A history seen c times gives its pairs the weight ``MOST_TRUST`` * c / (c + ``TRUST``).
 MOST_TRUST, TRUST = 0.25, 10.0
@@ -63,58 +60,6 @@ def pairs(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(mixed(before) * np.uint64(0x9E3779B97F4A7C15) + token), before
 
 
-def _buckets(docs: DataFrame) -> int:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 << max(4, int(total // BUCKET_BYTES).bit_length())
-
-
-def gather_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, hash, count): packed exact counts of words (kind 0) and pairs seen at least twice (kind 1)."""
-    small_batches(docs.sparkSession, 16)
-    shift = np.uint64(64 - buckets.bit_length() + 1)
-    names = ["kind", "bucket", "hash", "count"]
-
-    def packed(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        bucket = (keys >> shift).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(at))
-        blobs = [[x[at[b] : at[b + 1]].tobytes() for b in some] for x in (keys, n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=names)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for i, j in chunks(texts):
-                token, doc = tokens(texts[i:j])
-                held[0].append(token)
-                held[1].append(pairs(token, doc)[0])
-            if sum(map(len, held[0])) > COUNTED:
-                yield from (packed(k, h) for k, h in enumerate(held))
-                held = ([], [])
-        if held[0]:
-            yield from (packed(k, h) for k, h in enumerate(held))
-
-    def merge(table: pa.Table) -> pa.Table:
-        value, n = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("hash", np.uint64), ("count", np.int64)))
-        keys, inv = np.unique(value, return_inverse=True)
-        total = np.bincount(inv, n, len(keys)).astype(np.int64)
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        if kind:
-            keys, total = keys[total > 1], total[total > 1]
-        row = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())]
-        return pa.table(row, names=names)
-
-    rows = docs.select("text").mapInArrow(work, "kind int, bucket int, hash binary, count binary")
-    return rows.groupBy("kind", "bucket").applyInArrow(merge, "kind int, bucket int, hash binary, count binary")
-
-
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for r in batch.to_pylist():
-        yield r["kind"], r["bucket"], np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["count"], np.int64)
-
-
 def level(count: np.ndarray) -> np.ndarray:
     """q of a count."""
     return np.frexp(count.astype(np.float64))[1]
@@ -150,135 +95,103 @@ class Filter:
         return out
 
 
-def _levels(counts: DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
-    """kind -> q -> (n-grams, sum of counts): a few dozen rows."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for kind, _, _, n in _unpacked(batch):
-                q = level(n)
-                total = np.bincount(q, n, LEVELS + 1)
-                rows += [(kind, int(x), int(c), int(total[x])) for x, c in zip(*np.unique(q, return_counts=True), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["kind", "q", "n", "total"])
-
-    rows = counts.mapInArrow(work, "kind int, q int, n long, total long").groupBy("kind", "q").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    out: dict[int, dict[int, tuple[int, int]]] = {0: {}, 1: {}}
-    for r in rows:
-        out[r.kind][r.q] = (r.n, r.total)
-    return out
-
-
-def _least_level(by_q: dict[int, tuple[int, int]], room: int, each) -> int:
-    """The smallest q from which on all n-grams fit into ``room``."""
-    used, least = 0, LEVELS
-    for q in range(LEVELS, 0, -1):
-        used += each(q) * by_q.get(q, (0, 0))[0]
-        if used > room:
-            break
-        least = q
-    return least
-
-
-def build_filter(counts: DataFrame, buckets: int, kind: int, by_q: dict[int, tuple[int, int]]) -> Filter:
-    """The filter of one kind, each bucket's part built where its counts are."""
-    least = _least_level(by_q, MOST_BITS // BITS_EACH, lambda q: q)
-    entries = sum(q * n for q, (n, _) in by_q.items() if q >= least)
-    size = max(64, -(-entries * BITS_EACH // buckets // 64) * 64)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for _, bucket, key, n in _unpacked(batch):
-                own, q = np.zeros(size, bool), level(n)
-                for x in range(1, int(q.max(initial=0)) + 1):
-                    part = key[(q >= max(x, least))]
-                    for probe in range(PROBES):
-                        own[Filter.places(part, x, probe, np.uint64(size)).astype(np.int64)] = True
-                rows.append((bucket, np.packbits(own, bitorder="little").tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["bucket", "bits"])
-
-    parts = counts.filter(F.col("kind") == kind).mapInArrow(work, "bucket int, bits binary").toArrow()
-    bits = np.zeros((buckets, size // 8), np.uint8)
-    for b, blob in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
-        bits[b] = np.frombuffer(blob, np.uint8)
-    return Filter(bits.reshape(-1), buckets)
-
-
-def _word_rows(counts: DataFrame, least: int, most: int) -> DataFrame:
-    """(word, c) of the words with least <= q < most."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, key, n in _unpacked(batch):
-                own = (level(n) >= least) & (level(n) < most)
-                yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(n[own])], names=["word", "c"])
-
-    return counts.filter("kind = 0").mapInArrow(work, "word long, c long")
+def build_filter(key: np.ndarray, n: np.ndarray) -> Filter:
+    """The filter of one bucket, of all its n-grams."""
+    q = level(n)
+    size = max(64, -(-int(q.sum()) * BITS_EACH // 64) * 64)
+    own = np.zeros(size, bool)
+    for x in range(1, int(q.max(initial=0)) + 1):
+        for probe in range(PROBES):
+            own[Filter.places(key[q >= x], x, probe, np.uint64(size)).astype(np.int64)] = True
+    return Filter(np.packbits(own, bitorder="little"), 1)
+
+
+def _block_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, number of its text, pair and history of all tokens of a block."""
+    parts = []
+    for i, j in chunks(texts):
+        token, doc = tokens(texts[i:j])
+        parts.append((token, doc + i, *pairs(token, doc)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+_SENT = "block int, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
+_ANSWER = "block int, bucket int, words binary, exact binary, pairs binary, n_words long, n_tokens long"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _table(columns: list, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _sender(buckets: int):
+    """Distinct n-grams of a block with their counts in training texts (0 if in none), one row a bucket."""
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+
+    def send(block: pa.Table) -> pa.Table:
+        token, doc, pair, _ = _block_tokens(as_bytes(block.column("text")))
+        train, columns = block.column("train").to_numpy()[doc], []
+        for ngram in (token, pair):
+            keys, inv = np.unique(ngram, return_inverse=True)
+            n = np.bincount(inv[train], minlength=len(keys)).astype(np.int32)
+            at = np.searchsorted((keys >> shift).astype(np.int64), np.arange(buckets + 1))
+            columns += [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x in (keys, n)]
+        return _table([np.full(buckets, block.column("block")[0].as_py()), np.arange(buckets), *columns], _SENT)
+
+    return send
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """q of each n-gram that a block sent to this bucket, exact counts of words, and the bucket's sums."""
+    columns, sums = [], [0, 0]
+    for name, numbers in (("words", "word_counts"), ("pairs", "pair_counts")):
+        blobs = rows.column(name).to_pylist()
+        keys, inv = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
+        n = np.bincount(inv, np.frombuffer(b"".join(rows.column(numbers).to_pylist()), np.int32), len(keys)).astype(np.int64)
+        held = build_filter(keys[n > 0], n[n > 0])
+        q = np.concatenate([np.zeros(0, np.int64), *[held.find(keys[i : i + HEAD]) for i in range(0, len(keys), HEAD)]]).astype(np.uint8)
+        at = np.append(0, np.cumsum([len(b) // 8 for b in blobs]))
+        for x in (q, n) if name == "words" else (q,):
+            columns.append([x[inv[i:j]].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+        if name == "words":
+            sums = [int((n > 0).sum()), int(n.sum())]
+    return _table([rows.column("block").to_numpy(), rows.column("bucket").to_numpy(), *columns, *[np.full(len(rows), x) for x in sums]], _ANSWER)
+
+
+def _score_block(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """Scores of a block's texts; every bucket has answered, so the sums are those of all training texts."""
+    answers = answers.sort_by("bucket")
+    texts = as_bytes(block.column("text"))
+    token, doc, pair, before = _block_tokens(texts)
+    got = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+    words, total = (int(answers.column(c).to_numpy().sum()) for c in ("n_words", "n_tokens"))
+    each, inv = np.unique(token, return_inverse=True)
+    seen, exact = count_of(got("words", np.uint8).astype(np.int64)), got("exact", np.int64)
+    history = np.empty(len(token))
+    history[1:] = seen[inv[:-1]]
+    history[before == BEGIN] = exact[np.searchsorted(each, END)]  # as many ends as training texts
+    both = count_of(got("pairs", np.uint8).astype(np.int64))[np.unique(pair, return_inverse=True)[1]]
+    both = np.minimum(both, history)
+    trust = MOST_TRUST * history / (history + TRUST)
+    p = trust * both / np.maximum(history, 1) + (1 - trust) * (seen[inv] + 1) / (total + words + 1)
+    n = len(texts)
+    n_tokens, n_known = np.bincount(doc, minlength=n), np.bincount(doc, (exact > 0)[inv], n).astype(np.int64)
+    base = np.bincount(doc, np.log10(exact + 1.0)[inv], n) - n_tokens * np.log10(total + words + 1)
+    return _table([block.column("doc_id").combine_chunks(), ~block.column("train").to_numpy(), n_tokens, n_known, np.full(n, total), base, np.bincount(doc, np.log10(p), n)], _OUT)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    train = docs.filter(~held_out(FOLDS, FOLD))
-    buckets = _buckets(train)
-    counts = staged(gather_counts(train, buckets), "counts")
-    by_q = _levels(counts)
-    words, total = sum(n for n, _ in by_q[0].values()), sum(t for _, t in by_q[0].values())
-    least = _least_level(by_q[0], HEAD, lambda q: 1)
-    head = _word_rows(counts, least, LEVELS + 1).toArrow()
-    key = head.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    singles, doubles = (build_filter(counts, buckets, k, by_q[k]) for k in (0, 1))
-    shared = spark.sparkContext.broadcast((key[order], head.column(1).to_numpy()[order], singles, doubles))
-    texts = float(train.count())
-    small_batches(spark)
-    names = ["doc_id", "n_tokens", "n_head", "head_log", "score", "tail"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, c, singles, doubles = shared.value
-        for batch in batches:
-            raw, parts = as_bytes(batch.column(1)), []
-            for i, j in chunks(raw):
-                token, doc = tokens(raw[i:j])
-                n = j - i
-                each, inv = np.unique(token, return_inverse=True)
-                k = np.minimum(np.searchsorted(keys, each), max(0, len(keys) - 1))
-                known = keys[k] == each if len(keys) else np.zeros(len(each), bool)
-                exact = np.where(known, c[k], 0) if len(keys) else np.zeros(len(each), np.int64)
-                seen = count_of(singles.find(each))
-                pair, before = pairs(token, doc)
-                history = np.empty(len(token))
-                history[1:] = seen[inv[:-1]]
-                history[before == BEGIN] = texts
-                both = np.minimum(count_of(doubles.find(pair)), history)
-                trust = MOST_TRUST * history / (history + TRUST)
-                p = trust * both / np.maximum(history, 1) + (1 - trust) * (seen[inv] + 1) / (total + words + 1)
-                beyond = ~known[inv]
-                tail = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(doc[beyond], minlength=n))).astype(np.int32), pa.array(token[beyond].view(np.int64)))
-                parts.append((np.bincount(doc, minlength=n), np.bincount(doc, known[inv], n).astype(np.int64), np.bincount(doc, np.log10(exact + 1.0)[inv], n), np.bincount(doc, np.log10(p), n), tail))
-            if parts:
-                cols = list(zip(*parts, strict=True))
-                arrays = [pa.array(np.concatenate(x)) for x in cols[:4]] + [pa.concat_arrays(cols[4])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
-
-    rows = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, n_head long, head_log double, score double, tail array<long>")
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = rows.select("row", F.explode("tail").alias("word")).join(_word_rows(counts, 1, least), "word")
-    tail = tail.groupBy("row").agg(F.count("*").alias("n_tail"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    out = rows.drop("tail").join(tail, "row", "left")
-    base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + words + 1))
-    return out.select(
-        "doc_id",
-        held_out(FOLDS, FOLD).alias("held_out"),
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        "score",
-    )
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << max(4, int(size // BUCKET_BYTES).bit_length())
+    blocks = max(16, -(-int(size) // BLOCK_BYTES))
+    small_batches(docs.sparkSession)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    rows = docs.select(block, F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(FOLDS, FOLD)).alias("train"))
+    answers = rows.groupBy("block").applyInArrow(_sender(buckets), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, _OUT)
 
 
 def op7_log_bloom_lm(spark, sf_dir: str) -> DataFrame:

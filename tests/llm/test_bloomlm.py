@@ -63,3 +63,29 @@ def test_filter_gives_levels_back():
     found = f.find(key)
     assert (found >= q).all() and (found == q).mean() > 0.99
     assert (f.find(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.02
+
+
+def test_score_uses_all_ngrams(spark, monkeypatch):
+    """Rare words and pairs seen once count, however small a filter had been."""
+    monkeypatch.setattr(bloomlm, "MOST_BITS", 1 << 10, raising=False)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(20)), None, None, 0, "", "") for i in range(150)]
+    c, two, texts = collections.Counter(), collections.Counter(), 0
+    split = lambda t: t.split() + [""]
+    for i, t, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w, texts = split(t), texts + 1
+            c.update(w)
+            two.update(zip([None, *w], w))
+    middle = lambda n: (2 ** (n.bit_length() - 1) + 2 ** n.bit_length() - 1) / 2 if n else 0.0
+    n, v, want = sum(c.values()), len(c), {}
+    for i, t, *_ in rows:
+        w, want[i] = split(t), 0.0
+        for a, b in zip([None, *w], w):
+            h = texts if a is None else middle(c[a])
+            trust = bloomlm.MOST_TRUST * h / (h + bloomlm.TRUST)
+            want[i] += math.log10(trust * min(middle(two[a, b]), h) / max(h, 1) + (1 - trust) * (middle(c[b]) + 1) / (n + v + 1))
+    got = {r.doc_id: r.score for r in bloomlm.score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(two[p] == 1 for p in two) > 1000
+    # a filter of 12 bits an entry and 4 probes reads 0.65 % of n-grams too high: 0.9935^42 = 0.76 of these texts have none
+    assert sum(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want) > 0.6 * len(rows)
