@@ -1,11 +1,12 @@
 """Language ID by segmentation-marginalised unigrams.
 
-The pieces are the entries of a fixed public byte vocabulary (all single bytes are among them).
+The pieces are all entries of a fixed public byte vocabulary, without the space that leads many of
+them and ASCII lower-cased (all single bytes are among them).
 Each language has a probability for every piece, learned by expectation-maximisation over all
 segmentations of the training words.  A word's probability under a language is the sum over all its
 segmentations, computed by a forward pass; a text's is the product over its words, times the share
-of the language among the labelled rows.  Words are runs of letters, ASCII lower-cased; a word longer
-than ``LONGEST`` bytes is scored in parts of that length.
+of the language among the labelled rows.  Words are whole runs of letters of any length, ASCII
+lower-cased; memory follows ``CHUNK`` or the longest text.
 
 Null text, or text without a letter, is ``und`` with score 0.  Without any labelled row every text is
 ``und``.  Repeated rows give repeated results; columns other than text and lang are ignored.
@@ -31,32 +32,30 @@ FOLDS, FOLD = 4, 2
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the training sample, by language.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 14
-PIECE, LONGEST, ROUNDS, SMOOTH = 8, 24, 3, 0.05
+ROUNDS, SMOOTH = 3, 0.05
+#: Words and their bytes in one forward pass; steps between two rescalings of its window.
+PASS_WORDS, PASS_BYTES, RESCALE = 1 << 14, 1 << 18, 16
 #: Words whose scores a worker remembers.
 CACHE = 300_000
 UNKNOWN = "und"
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The byte buffer of the texts, byte starts and ends of word parts, and the number of each part's text."""
+    """The byte buffer of the texts, byte starts and ends of words, and the number of each word's text."""
     data = sealed(texts)
     at, _, kind = characters(data)
     place = np.append(at, len(data))
     edge = np.flatnonzero(np.diff((kind == LETTER).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     s, e = place[edge[::2]], place[edge[1::2]]
-    if len(s) and (e - s).max() > LONGEST:
-        n = -(-(e - s) // LONGEST)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s, e = np.repeat(s, n) + k * LONGEST, np.repeat(e, n)
-        e = np.minimum(e, s + LONGEST)
     return data, s, e, np.searchsorted(np.flatnonzero(data == 0xFF), s)
 
 
 class Pieces:
-    """Sorted hashes of the vocabulary's short pieces, with a bitmap that drops most other spans."""
+    """Sorted hashes of the vocabulary's pieces, with a bitmap that drops most other spans."""
 
     def __init__(self, entries: list[bytes]):
-        own = sorted({bytes(e).lower() if e.isascii() else e for e in entries if 0 < len(e) <= PIECE and b" " not in e})
+        own = sorted({bytes(e).lstrip(b" ").lower() for e in entries} - {b""})
+        self.width = max(map(len, own))
         data = np.frombuffer(b"".join(own), np.uint8)
         ends = np.cumsum([len(e) for e in own])
         self.keys = np.sort(span_hash(prefix_hash(data), np.concatenate([[0], ends[:-1]]), ends))
@@ -70,14 +69,28 @@ class Pieces:
         hit = self.keys[i] == h[maybe]
         return maybe[hit], i[hit]
 
-    def lattice(self, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(end, length, words, pieces) of all piece spans, by end; words must be sorted by descending length."""
-        size = e - s
-        for t in range(1, int(size.max(initial=0)) + 1):
-            live = np.searchsorted(-size, -t, "right")
-            for k in range(1, min(t, PIECE) + 1):
-                place, piece = self.find(span_hash(h, s[:live] + t - k, s[:live] + t))
-                yield t, k, place, piece
+    def lattice(self, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends within the word, words and pieces of all piece spans; words must be sorted by descending length."""
+        size, found = e - s, []
+        for k in range(1, min(self.width, int(size.max(initial=0))) + 1):
+            n = size[: np.searchsorted(-size, -k, "right")] - k + 1
+            word = np.repeat(np.arange(len(n)), n)
+            start = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+            at, piece = self.find(span_hash(h, s[word] + start, s[word] + start + k))
+            found.append((start[at], start[at] + k, word[at], piece))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def steps(place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of spans by place and word; per place, where its spans begin and its first group; where each group begins.
+
+    Single bytes are pieces: at each place the groups are those of the words that reach so far, in order.
+    """
+    order = np.lexsort((word, place))
+    place, word = place[order], word[order]
+    group = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (word[1:] != word[:-1])))[: len(place)]
+    most = np.arange(int(place.max(initial=-1)) + 2)
+    return order, np.searchsorted(place, most), np.searchsorted(place[group], most), group
 
 
 class Identifier:
@@ -99,13 +112,20 @@ class Identifier:
         """log10 probability of each word under each language, summed over segmentations."""
         order = np.argsort(s - e, kind="stable")
         s, e = s[order], e[order]
-        most = int((e - s).max(initial=0))
-        alpha = np.zeros((most + 1, len(s), len(self.langs)))
-        alpha[0] = 1
-        for t, k, w, piece in self.pieces.lattice(h, s, e):
-            alpha[t, w] += alpha[t - k, w] * self.prob[piece]
-        out = np.empty((len(s), len(self.langs)), np.float32)
-        out[order] = np.log10(alpha[e - s, np.arange(len(s))])
+        start, end, word, piece = self.pieces.lattice(h, s, e)
+        by, span, first, group = steps(end, word)
+        start, word, piece = start[by], word[by], piece[by]
+        wide = self.pieces.width + 1
+        alpha = np.ones((wide, len(s), len(self.langs)))  # rows of the last places, by place modulo wide
+        scale, out = np.zeros((len(s), len(self.langs))), np.empty((len(s), len(self.langs)), np.float32)
+        for t in range(1, int((e - s).max(initial=0)) + 1):
+            i, j, live, left = span[t], span[t + 1], first[t + 1] - first[t], first[t + 2] - first[t + 1] if t + 2 < len(first) else 0
+            now = np.add.reduceat(alpha[start[i:j] % wide, word[i:j]] * self.prob[piece[i:j]], group[first[t] : first[t + 1]] - i)
+            alpha[t % wide, :live] = now
+            out[order[left:live]] = np.log10(now[left:]) + scale[left:live]
+            if t % RESCALE == 0 and left:
+                alpha[:, :left] /= now[:left]
+                scale[:left] += np.log10(now[:left])
         return out
 
     def word_scores(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -116,9 +136,11 @@ class Identifier:
         known = self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
         scores[known] = self.values[i[known]]
         new = np.flatnonzero(~known)
-        for b in range(0, len(new), 1 << 14):
-            part = new[b : b + (1 << 14)]
-            scores[part] = self.forward(h, s[first[part]], e[first[part]])
+        if len(new):
+            size = np.cumsum(e[first[new]] - s[first[new]])
+            turn = np.maximum(size // PASS_BYTES, np.arange(len(new)) // PASS_WORDS)
+            for part in np.split(new, np.flatnonzero(np.diff(turn)) + 1):
+                scores[part] = self.forward(h, s[first[part]], e[first[part]])
         if len(self.keys) + len(new) > CACHE:
             self._fresh()
         merged = np.concatenate([self.keys, keys[new]])
@@ -148,6 +170,24 @@ class Identifier:
         return pred, np.concatenate(score) if score else np.zeros(0)
 
 
+def _maximised(p: np.ndarray, base: np.ndarray, size: np.ndarray, n: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, forth: tuple, back: tuple) -> np.ndarray:
+    """Piece probabilities after ``ROUNDS`` rounds; sums over segmentations are kept as logarithms, so that words may be long."""
+    most, word_of = int(size.max()), np.repeat(np.arange(len(size)), size + 1)
+    for _ in range(ROUNDS):
+        log, alpha, beta = np.log(p), np.zeros(int(size.sum()) + len(size)), np.zeros(int(size.sum()) + len(size))
+        for (order, span, first, group), places, into, out, sums in ((forth, range(1, most + 1), start, end, alpha), (back, range(most - 1, -1, -1), end, start, beta)):
+            into, out, gain = into[order], out[order], log[piece[order]]
+            for t in places:
+                i, j = span[t], span[t + 1]
+                g = group[first[t] : first[t + 1]]
+                sums[out[g]] = np.logaddexp.reduceat(sums[into[i:j]] + gain[i:j], g - i)
+        word = word_of[start]
+        weight = n[word] * np.exp(alpha[start] + log[piece] + beta[end] - alpha[base[word] + size[word]])
+        count = np.bincount(piece, weight, len(p))
+        p = (count + SMOOTH) / (count.sum() + SMOOTH * len(p))
+    return p
+
+
 def fit(rows: dict[str, list[str]], shares: dict[str, float], path: str | None = None) -> Identifier:
     """Expectation-maximisation of piece probabilities, one language after the other."""
     pieces = Pieces(read_ranks(path or public_tokenizers.path(VOCABULARY)))
@@ -159,21 +199,12 @@ def fit(rows: dict[str, list[str]], shares: dict[str, float], path: str | None =
         _, first, n = np.unique(span_hash(h, s, e), return_index=True, return_counts=True)
         order = np.argsort((s - e)[first], kind="stable")
         s, e, n = s[first[order]], e[first[order]], n[order].astype(float)
-        spans = list(pieces.lattice(h, s, e))
         p = np.full(len(pieces.keys), 1e-3)
-        for _ in range(ROUNDS if len(s) else 0):
+        if len(s):
+            start, end, word, piece = pieces.lattice(h, s, e)
             size = e - s
-            alpha, beta = (np.zeros((int(size.max()) + 1, len(s))) for _ in range(2))
-            alpha[0] = 1
-            for t, k, w, piece in spans:
-                alpha[t, w] += alpha[t - k, w] * p[piece]
-            beta[size, np.arange(len(s))] = n / alpha[size, np.arange(len(s))]
-            count = np.zeros(len(p))
-            for t, k, w, piece in reversed(spans):
-                through = beta[t, w] * p[piece]
-                np.add.at(count, piece, alpha[t - k, w] * through)
-                beta[t - k, w] += through
-            p = (count + SMOOTH) / (count.sum() + SMOOTH * len(p))
+            base = np.cumsum(size + 1) - size - 1
+            p = _maximised(p, base, size, n, start + base[word], end + base[word], piece, steps(end, word), steps(start, word))
         prob[:, c] = p
     return Identifier(langs, np.log10([max(shares[x], 1e-9) for x in langs]) if langs else np.zeros(0), pieces, prob)
 

@@ -232,6 +232,30 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(10.0**got, [brute(0, 0), brute(0, 1)], rtol=1e-4)
 
 
+def test_language_takes_whole_words_and_all_pieces():
+    import numpy as np
+
+    from skein.llm.textbytes import prefix_hash
+
+    entries = [bytes(e).lstrip(b" ").lower() for e in bytebpe.read_ranks(public_tokenizers.path(langid.VOCABULARY))]
+    ru = "действительно правительство человечествоправительства"
+    model = langid.fit({"aa": ["understanding " * 3 + "governmentunderstandingresponsibility"], "ru": [ru]}, {"aa": 0.5, "ru": 0.5})
+    pieces = {k: p for k, p in zip(model.pieces.keys.tolist(), model.prob)}
+    hashed = lambda w: prefix_hash(np.frombuffer(w, np.uint8), lower=True)
+    one = lambda w: int(langid.span_hash(hashed(w), np.array([0]), np.array([len(w)]))[0])
+    assert all(one(e) in pieces for e in entries if e)
+    for word in ("understandinggovernmentresponsibility", ru.split()[2], "правительство" * 40, "x" * 3000):
+        w = word.encode()
+        data, s, e, _ = langid.words([w])
+        assert (s.tolist(), e.tolist()) == ([0], [len(w)])
+        log = np.full((len(w) + 1, 2), -np.inf)
+        log[0] = 0
+        for t in range(1, len(w) + 1):
+            hits = [(k, pieces.get(one(w[t - k : t]))) for k in range(1, min(t, model.pieces.width) + 1)]
+            log[t] = np.logaddexp.reduce([log[t - k] + np.log(p) for k, p in hits if p is not None])
+        assert np.allclose(model.forward(prefix_hash(data, lower=True), s, e)[0], log[-1] / np.log(10), rtol=1e-5)
+
+
 def shingles(text, width):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
