@@ -42,13 +42,15 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), at
 
 
-def lag_shares(data: np.ndarray) -> np.ndarray:
-    """Per half-chunk and lag, the share of bytes that equal the byte so far before them."""
+def lag_shares(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per half-chunk and lag, the share of bytes that equal the byte so far before them in the same text."""
     out = np.zeros((len(data) // HALF, len(LAGS)), np.float32)
     same = np.zeros(len(data), np.uint8)
+    early = at[:-1, None] * HALF + np.arange(max(LAGS))  # bytes without one so far before them, for lags beyond their column
     for k, lag in enumerate(LAGS):
         same[:lag] = 0
         same[lag:] = (data[lag:] == data[:-lag]) & (data[lag:] != 0) if lag < len(data) else 0
+        same[np.minimum(early[:, :lag], len(data) - 1)] = 0  # at the end of the buffer this meets padding only
         words = same.view(np.uint64)  # HALF is 8: one word a half-chunk
         out[:, k] = ((words * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.float32) / HALF
     return out
@@ -62,7 +64,7 @@ class ByteNetwork:
         """Filter values by chunk, their maxima by text, and the inputs of both kinds by half-chunk."""
         p = self.p
         x = p["embed"][data].reshape(len(data) // HALF, HALF * EMBED)
-        lags = lag_shares(data)
+        lags = lag_shares(data, at)
         y = x @ p["first"] + lags @ p["lags"]
         y[:-1] += (x @ p["second"] + lags @ p["lags"])[1:]
         y += p["bias"]

@@ -197,6 +197,21 @@ def test_quality_held_out(spark):
     assert accuracy(quality.quality(docs, labels), {i: int(i % 4 != 0) for i, _, _ in rows}, 0.3) > 0.95
 
 
+def test_quality_is_the_same_in_any_batch():
+    import numpy as np
+
+    rng = random.Random(5)
+    net = quality.fit([(prose(rng, 6) if i % 2 else "ab" * 20, i % 2) for i in range(60)])
+    texts = [b"abcabcabcabc", b"abc", b"", b"cabcab", b"a" * 9, b"abcabcab", b"aaaaaaaaaaaaa", b"abcabcabcabc"] + [prose(rng, k).encode() for k in range(1, 8)]
+    data, at = quality.laid_out(texts)
+    lags = quality.lag_shares(data, at)
+    for i, t in enumerate(texts):
+        own = t + bytes((at[i + 1] - at[i]) * 8 - len(t))
+        want = [[sum(j >= g and own[j] == own[j - g] != 0 for j in range(c * 8, c * 8 + 8)) / 8 for g in quality.LAGS] for c in range(len(own) // 8)]
+        assert np.array_equal(lags[at[i] : at[i + 1]], np.array(want, np.float32))
+    assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-6)
+
+
 def test_language_held_out(spark):
     rng = random.Random(9)
     speak = {"aa": ["kala", "mala", "tola"], "bb": ["stirk", "blonk", "grend"]}
