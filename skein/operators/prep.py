@@ -100,9 +100,15 @@ def token_vectors(train: DataFrame, size: int = 16, seed: int = 42) -> DataFrame
 
 
 def pooled(df: DataFrame, key: str, vectors: DataFrame, pooling: str = "mean") -> DataFrame:
-    """(key, embedding): mean of the token vectors, the last one, or both joined (``mean+last``)."""
-    long = df.select(key, F.posexplode("event_token_ids").alias("pos", "token"))
-    dims = long.join(vectors, "token").select(key, "pos", F.posexplode("vector").alias("dim", "x"))
+    """(key, embedding): mean of the token vectors, the last one, or both joined (``mean+last``).
+
+    A token without a vector has that of UNK, or zeros if UNK has none; so has a key without tokens.
+    """
+    long = df.select(key, F.posexplode_outer("event_token_ids").alias("pos", "token")).withColumn("pos", F.coalesce("pos", F.lit(-1)))
+    width = vectors.agg(F.max(F.size("vector")).alias("n"), F.max(F.when(F.col("token") == UNK, F.col("vector"))).alias("unk"))
+    other = width.select(F.coalesce("unk", F.array_repeat(F.lit(0.0), F.coalesce("n", F.lit(0)))).alias("other"))
+    known = long.join(vectors, "token", "left").crossJoin(F.broadcast(other))
+    dims = known.select(key, "pos", F.posexplode(F.coalesce("vector", "other")).alias("dim", "x"))
     per = dims.groupBy(key, "dim").agg(F.avg("x").alias("mean"), F.max_by("x", "pos").alias("last"))
     names = pooling.split("+")
     if not set(names) <= {"mean", "last"}:

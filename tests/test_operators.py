@@ -222,3 +222,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     files.write_metrics(df, str(tmp_path / "m"))
     assert files.read_metrics(spark, str(tmp_path / "m"), df.schema).count() == 3
+
+
+def test_pooled_keeps_unknown_tokens_and_empty_rows(spark):
+    df = spark.createDataFrame([("a", [7, 9]), ("b", [9]), ("c", [])], "user_id string, event_token_ids array<long>")
+    vectors = spark.createDataFrame([(7, [1.0, 2.0])], "token long, vector array<double>")
+    got = lambda v: {r.user_id: r.embedding for r in prep.pooled(df, "user_id", v, "mean+last").collect()}
+    assert got(vectors) == {"a": [0.5, 1.0, 0.0, 0.0], "b": [0.0] * 4, "c": [0.0] * 4}
+    unk = spark.createDataFrame([(prep.UNK, [3.0, 4.0])], vectors.schema)
+    assert got(vectors.union(unk)) == {"a": [2.0, 3.0, 3.0, 4.0], "b": [3.0, 4.0] * 2, "c": [3.0, 4.0] * 2}
