@@ -30,28 +30,50 @@ def _cycle(values: tuple[float, ...], rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (rank % len(values) + 1).cast("int"))
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """The staged table of sources with ``rank``: 0, 1, ... by code point, null last.
+
+    Sources are dealt by range once; a row's number is its place in its range after the sizes of the ranges before.
+    """
+    ranged = staged(sources.repartitionByRange(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source")))
+    return staged(ranged.withColumn("place", place).join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place") - 1).drop("part", "place", "offset"), "ranked")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source_key, source, size) rows to one row per source with weight, source_size and target.
+    """(source_key, source, size) rows to one row per source with rank, weight, source_size and target.
 
-    The budget is shared by weight; a source stops at ``most`` times its size and the excess is
-    reshared among the rest.  Sorted by size per weight, the sources that stop come first, so the
-    level reached by the others follows from running sums over the table of sources.
+    The budget is shared by weight; sources above ``most`` times their size stop there and the rest is
+    shared again among the others, until none is above.  Each round is one pair of sums over the table
+    of sources, and the level, a target per weight, only rises.
     """
-    per = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    everywhere = Window.partitionBy(F.lit(0))
-    ranked = per.withColumn("rank", F.row_number().over(everywhere.orderBy(F.asc_nulls_last("source"))) - 1)
+    ranked = _numbered(sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size")))
     w = ranked.withColumn("weight", _cycle(weights, F.col("rank"))).withColumn("stop", most * F.col("source_size"))
-    w = w.withColumn("stops_at", F.col("stop") / F.col("weight"))
-    before = everywhere.orderBy("stops_at", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    onward = everywhere.orderBy("stops_at", "rank").rowsBetween(0, Window.unboundedFollowing)
-    w = w.withColumn(
-        "level_here",
-        (budget * F.sum("source_size").over(everywhere) - F.coalesce(F.sum("stop").over(before), F.lit(0.0)))
-        / F.sum("weight").over(onward),
-    )
-    w = w.withColumn("level", F.min(F.when(F.col("level_here") <= F.col("stops_at"), F.col("level_here"))).over(everywhere))
-    target = F.when(F.col("stops_at") <= F.col("level"), F.col("stop")).otherwise(F.coalesce(F.col("level") * F.col("weight"), F.col("stop")))
-    return w.select("source_key", "rank", "weight", "source_size", target.alias("target"))
+    level = 0.0
+    while True:
+        stops = F.col("stop") <= level * F.col("weight")
+        found = w.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(stops, F.col("stop"))).alias("stopped"), F.sum(F.when(~stops, F.col("weight"))).alias("open")
+        ).first()
+        if not found.open:
+            break
+        after = (budget * found["all"] - (found.stopped or 0.0)) / found.open
+        if after <= level:
+            break
+        level = after
+    return w.select("source_key", "rank", "weight", "source_size", F.least("stop", level * F.col("weight")).alias("target"))
+
+
+def _source_key() -> Column:
+    """The source, told apart from null."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
+def _mark() -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _demand_inverse(u: Column, start: Column, end: Column) -> Column:
@@ -73,15 +95,16 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: floa
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order_key"),
+        _mark().alias("mark"),
     )
-    thin = thin.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
+    thin = thin.withColumn("source_key", _source_key()).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     thin = staged(thin, "sizes")
     sums = thin.groupBy("source_key", "source", "bucket").agg(F.sum("size").alias("size"))
     targets = source_targets(sums, weights, budget, most)
     offset = F.coalesce(F.sum("size").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = sums.select("source_key", "bucket", offset.alias("offset")).join(targets, "source_key")
     inside = F.coalesce(
-        F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     rows = thin.withColumn("inside", inside).join(buckets, ["source_key", "bucket"])
     rows = rows.withColumn("begin", F.col("offset") + F.col("inside"))
@@ -103,25 +126,36 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: floa
         (F.col("passes") + (F.col("part") > 0).cast("long")).cast("int").alias("copies"),
         F.when(F.col("taken") > 0, F.round(_demand_inverse(u, start, end), 9)).alias("position"),
         F.struct("begin", "rank", start.alias("start"), end.alias("end")).alias("place"),
+        "mark",
+        "source_key",
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The plan of the mix, range-sorted by training position; documents not taken come last."""
-    return plan_mix(docs, **how).drop("place").orderBy(F.asc_nulls_last("position"), "doc_id")
+    return plan_mix(docs, **how).drop("place", "mark", "source_key").orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def training_order(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents with all their columns, one row per copy, range-sorted by training position.
 
-    Documents are taken whole.  A repeated (doc_id, text) row is mixed as the same document.
+    Documents are taken whole.  Rows alike in id, text and source are numbered, in the plan by their
+    place in the source, so that each is taken as often as its own plan says.  Null ids and texts are
+    mixed like others; an empty table gives an empty result; other columns are carried untouched.
     """
-    plan = plan_mix(docs, whole=True, **how).filter("copies > 0").dropDuplicates(["doc_id"])
-    copies = plan.select(F.col("doc_id").alias("mix_doc_id"), "source_size", "target", "place", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("mix_copy"))
-    u = F.least(F.lit(1.0), (F.col("place.begin") + F.col("mix_copy") * F.col("source_size")) / F.col("target"))
-    copies = copies.select("mix_doc_id", "mix_copy", _demand_inverse(u, F.col("place.start"), F.col("place.end")).alias("mix_position"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_doc_id"]))
-    return joined.orderBy("mix_position", "mix_doc_id", "mix_copy").select(*[docs[c] for c in docs.columns])
+    plan = plan_mix(docs, whole=True, **how)
+    alike = Window.partitionBy("doc_id", "mark", "source_key")
+    plan = plan.withColumn("nth", F.row_number().over(alike.orderBy("place.begin"))).filter("copies > 0")
+    u = F.least(F.lit(1.0), (F.col("place.begin") + F.col("copy") * F.col("source_size")) / F.col("target"))
+    copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    copies = copies.select("doc_id", "mark", "source_key", "nth", "copy", _demand_inverse(u, F.col("place.start"), F.col("place.end")).alias("position"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _mark().alias("mark"), _source_key().alias("source_key"))
+    rows = rows.withColumn("nth", F.row_number().over(alike.orderBy(F.lit(0))))
+    same = F.lit(True)
+    for name in ("doc_id", "mark", "source_key", "nth"):
+        same = same & rows[name].eqNullSafe(copies[name])
+    joined = rows.join(copies, same).select("row", copies["position"], copies["doc_id"], copies["copy"])
+    return joined.orderBy("position", "doc_id", "copy").select("row.*")
 
 
 def op4_curriculum_mix(spark, sf_dir: str) -> DataFrame:
@@ -129,17 +163,17 @@ def op4_curriculum_mix(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
 w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS stop FROM r),
-l AS (SELECT *, stop / weight AS stops_at,
-        (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY stop / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-        / sum(weight) OVER (ORDER BY stop / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level_here FROM w),
-m AS (SELECT *, min(CASE WHEN level_here <= stops_at THEN level_here END) OVER () AS level FROM l),
-t AS (SELECT *, CASE WHEN stops_at <= level THEN stop ELSE coalesce(level * weight, stop) END AS target FROM m),
+l AS (SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) AS level FROM w
+  UNION ALL
+  SELECT after FROM (SELECT l.level, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(stop) FILTER (stop <= l.level * weight), 0))
+                                             / sum(weight) FILTER (stop > l.level * weight) FROM w) AS after FROM l) WHERE after > level),
+t AS (SELECT w.*, least(stop, weight * (SELECT max(level) FROM l)) AS target FROM w),
 b AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rk,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS passes

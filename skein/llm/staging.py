@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
     where = spark.conf.get(KEY, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that all executors reach")
         where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(KEY, where)
     return where.rstrip("/")
@@ -39,6 +42,6 @@ def drop_staged(*frames: DataFrame) -> None:
                 to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bound the Arrow batches handed to Python by bytes, as texts vary from one word to megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches handed to Python by bytes, as texts vary from one word to megabytes; one bound for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
