@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the texts."""
-    ids = bytebpe.encoded(docs)
-    return ids.withColumn("n_tokens", F.size("token_ids").cast("long")).drop("text")
+    return bytebpe.encoded(docs, keep_text=False)
 
 
 STAGES = [

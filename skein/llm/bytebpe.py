@@ -6,8 +6,9 @@ Pre-tokens are cut by numpy on the character classes of many texts at once; they
 pattern (contractions, letters, numbers, signs, each with a leading space; white space).
 
 Null text is empty and has no tokens.  A pre-token of any length is merged in n log n steps.
-Repeated rows give repeated results.  Memory follows ``CHUNK`` or the longest text, and the cache of
-merged pre-tokens is bounded by twice ``CACHE``.
+Repeated rows give repeated results; an empty table gives none; other columns are ignored by the
+digests and carried by ``encoded``, whose own columns replace others of their names.  Memory follows
+``CHUNK`` or the longest text, and the cache of merged pre-tokens is bounded by twice ``CACHE``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .textbytes import CHUNK, as_bytes, chunks, mixed, prefix_hash, span_hash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose merges a worker remembers, in each of two generations.
-CACHE = 200_000
+CACHE = 60_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -124,7 +125,6 @@ class Codec:
     def _set(self) -> None:
         self.ranks = {e: i for i, e in enumerate(self.entries)}
         self.single = [(i,) for i in range(len(self.entries))]
-        self.texts = [b"%d" % i for i in range(len(self.entries))]
         self.pairs = [self.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
@@ -170,13 +170,13 @@ class Codec:
             i = end[i]
         return tuple(out)
 
-    def encode_parts(self, texts: list[bytes]) -> Iterator[tuple[list[tuple[int, ...]], list[list[int]]]]:
-        """By chunk: ids of the distinct pre-tokens, and the pre-tokens of each text as numbers of those."""
-        for i, j in chunks(texts, 2 * CHUNK):
+    def encode_parts(self, texts: list[bytes]) -> Iterator[tuple[int, int, list[tuple[int, ...]], np.ndarray, np.ndarray]]:
+        """By chunk: first and end text, ids of the distinct pre-tokens, all pre-tokens as numbers of those, and where each text's begin (n + 1 values)."""
+        for i, j in chunks(texts):
             data = sealed(texts[i:j])
             s, e, before = pretoken_spans(data)
             if not len(s):
-                yield [], [[] for _ in range(i, j)]
+                yield i, j, [], np.zeros(0, np.int64), np.zeros(j - i + 1, np.int64)
                 continue
             keys, first, inverse = np.unique(span_hash(prefix_hash(data), s, e), return_index=True, return_inverse=True)
             slot = self.hash.find(keys)
@@ -191,13 +191,16 @@ class Codec:
                         cache = self.cache
                     found = cache[piece] = self.older.get(piece) or self.merge(piece)
                 ids[k] = found
-            order, at = inverse.tolist(), [0, *before.tolist()]
-            yield ids, [order[at[k] : at[k + 1]] for k in range(j - i)]
+            yield i, j, ids, inverse, np.append(0, before)
 
-    def encode(self, texts: list[bytes]) -> Iterator[list[int]]:
-        for ids, docs in self.encode_parts(texts):
-            for doc in docs:
-                yield [x for k in doc for x in ids[k]]
+    def encode(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """By chunk: first and end text, the ids of its texts in one array, and where each text's begin (n + 1 values)."""
+        for i, j, ids, order, at in self.encode_parts(texts):
+            size = np.array([len(x) for x in ids], np.int64)
+            flat = np.fromiter((x for own in ids for x in own), np.int32, int(size.sum()))
+            n, place = size[order], (np.cumsum(size) - size)[order]
+            end = np.append(0, np.cumsum(n))
+            yield i, j, flat[np.repeat(place - end[:-1], n) + np.arange(end[-1])], end[at]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.entries[i] for i in ids])
@@ -205,11 +208,12 @@ class Codec:
     def digests(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """n_tokens, hash of the ids as text, hash of the decoded ids; ids are written and decoded once per distinct pre-token."""
         sha = hashlib.sha256
-        for ids, docs in self.encode_parts(texts):
+        for i, j, ids, order, at in self.encode_parts(texts):
             size = list(map(len, ids))
-            text = [b" ".join([self.texts[x] for x in own]) for own in ids]
+            text = [b" ".join([b"%d" % x for x in own]) for own in ids]
             back = [self.decode(own) for own in ids]
-            for doc in docs:
+            for k in range(j - i):
+                doc = order[at[k] : at[k + 1]].tolist()
                 yield sum([size[k] for k in doc]), sha(b" ".join([text[k] for k in doc])).hexdigest(), sha(b"".join([back[k] for k in doc])).hexdigest()
 
 
@@ -234,21 +238,27 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str | None = None, name: str = "token_ids") -> DataFrame:
-    """``docs`` with its token ids as an array column that replaces any column of that name."""
+def encoded(docs: DataFrame, path: str | None = None, name: str = "token_ids", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
+    """``docs`` with its token ids and their number, which replace any columns of these names; without the text if it is not kept.
+
+    Texts to drop never leave the workers, and ids leave them by the chunk, as one buffer of integers.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(load(path))
-    docs = docs.drop(name)
+    docs = docs.drop(name, count)
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False))])
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    schema = T.StructType([*fields, T.StructField(name, T.ArrayType(T.IntegerType(), False), False), T.StructField(count, T.LongType(), False)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         kind = pa.list_(pa.field("element", pa.int32(), False))
         for batch in batches:
-            ids = pa.array(list(codec.encode(as_bytes(batch.column(at)))), kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, name])
+            others = [c for k, c in enumerate(batch.columns) if keep_text or k != at]
+            for i, j, flat, place in codec.encode(as_bytes(batch.column(at))):
+                ids = pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(flat), type=kind)
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in others], ids, pa.array(np.diff(place))], names=schema.names)
 
     return docs.mapInArrow(work, schema)
 
