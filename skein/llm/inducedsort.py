@@ -3,16 +3,17 @@
 Suffixes are classified as larger (L) or smaller (S) than the next one; the substrings between
 leftmost-smaller suffixes are sorted by one round of inducing and named; the string of names is
 sorted recursively; its order induces the array of all suffixes, L from the left, S from the right.
-Each round walks the buckets of first characters; the entries of a bucket are moved together.
+Each round walks the buckets of first characters.  Few buckets are walked as wholes, their entries
+moved together; a string of names has about as many buckets as characters and is walked one by one.
+A level has at most half the characters of the one before, so the work is linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are walked bucket by bucket; a level of names beyond it has a handful
-#: of suffixes in a bucket and is ordered by doubling instead.
-WALKED = 4096
+#: Alphabets up to this size are walked by the bucket.
+WALKED = 258
 
 
 def _put(sa: np.ndarray, at: np.ndarray, chars: np.ndarray, items: np.ndarray, step: int) -> None:
@@ -68,21 +69,32 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: np.ndarray)
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks."""
-    n, k = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        s = key[order]
-        new[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        if new.max() == n - 1:
-            return order
-        rank, k = new, 2 * k
+def _induce_each(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The same array, one suffix after the other."""
+    n = len(t)
+    # the character before each suffix if that makes a larger or a smaller one, else -1; the last entry stands for empty places
+    before = np.append(-1, np.append(t[:-1], -1))
+    of = np.append(False, np.append(small[:-1], False))
+    larger, smaller = np.where(of, -1, before).tolist(), np.where(of, before, -1).tolist()
+    sa, tail, chars = [-1] * n, top[1:].tolist(), t[lms].tolist()
+    for i, c in zip(reversed(lms.tolist()), reversed(chars), strict=True):
+        tail[c] = p = tail[c] - 1
+        sa[p] = i
+    head = top[:-1].tolist()
+    for i in sa:  # places ahead are filled while the walk goes on
+        c = larger[i]
+        if c >= 0:
+            p = head[c]
+            sa[p] = i - 1
+            head[c] = p + 1
+    tail = top[1:].tolist()
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            tail[c] = p = tail[c] - 1
+            sa[p] = i - 1
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -90,8 +102,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n)[::-1].copy()
-    if k > WALKED:
-        return _doubled(t)
+    induce = _induce if k <= WALKED else _induce_each
     # a suffix is smaller than the next if its first change of character is upward
     change = np.flatnonzero(t[1:] != t[:-1])
     up = t[change + 1] > t[change]
@@ -101,7 +112,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     top = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=k))])
     # one round of inducing sorts the substrings between leftmost-smaller suffixes
-    sa = _induce(t, small, lms[np.argsort(t[lms], kind="stable")], top)
+    sa = induce(t, small, lms[np.argsort(t[lms], kind="stable")], top)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
@@ -128,7 +139,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     else:
         sub = np.empty(len(lms), np.int64)
         sub[names] = np.arange(len(lms))
-    return _induce(t, small, lms[sub], top)
+    return induce(t, small, lms[sub], top)
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

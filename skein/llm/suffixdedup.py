@@ -5,12 +5,14 @@ it stands; strings never cross documents and are judged on the input.
 
 Equal strings have the same least hash of their ``K``-byte parts, so strings are dealt to shards by
 it: a text falls into segments, runs of strings that share this hash.  Hashes found in one document
-only are dropped first.  Each shard orders the suffixes of its segments by induced sorting and reads
-repeats off the permuted common prefixes.  Strings below a hash that more than ``HOT`` batches hold
+only are dropped first.  Where all segments of a hash are equal bytes, their strings repeat as they are;
+of all other segments each shard orders the suffixes by induced sorting and reads repeats off the
+permuted common prefixes.  Strings below a hash that more than ``HOT`` batches hold
 are not gathered in one shard but grouped as rows, with partial aggregation.
 
 Null text is empty; a null id counts as larger than all others, and removes nothing from them.
 Repeated rows of one id do not remove each other.  Texts shorter than ``LENGTH`` keep all bytes.
+An empty table gives no rows; other columns are ignored by the digests and carried by ``without_repeats``.
 The bytes that stay may break a character; ``without_repeats`` then drops its stray bytes.
 """
 
@@ -33,8 +35,8 @@ LENGTH, K = 50, 24
 #: Entries of one hash in its bucket from which it is split by string; more for a larger input, so that
 #: the broadcast hot hashes stay below about a million.
 HOT = 1024
-#: Text bytes for one bucket of hashes and for one shard.
-BUCKET_BYTES, SHARD_BYTES = 24 << 20, 24 << 20
+#: Text bytes for one bucket of hashes, for one shard, and for the buckets or shards of one task.
+BUCKET_BYTES, SHARD_BYTES, TASK_BYTES = 8 << 20, 8 << 20, 24 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -132,7 +134,7 @@ def _hash_rows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("key", "mark", "text").mapInArrow(work, "bucket int, key binary, mark binary, place binary, hash binary")
 
 
-def _repeated(rows: DataFrame, hot: int) -> DataFrame:
+def _repeated(rows: DataFrame, hot: int, tasks: int) -> DataFrame:
     """(key, mark, hash): each document's packed hashes that other documents hold too; key null: hot hashes."""
 
     def told(key: np.ndarray, mark: np.ndarray, place: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -158,7 +160,7 @@ def _repeated(rows: DataFrame, hot: int) -> DataFrame:
             out.append(told(np.frombuffer(r["key"], np.int64), np.frombuffer(r["mark"], np.int64), where[own], value[own]))
         return pa.concat_tables(out)
 
-    return rows.groupBy("bucket").applyInArrow(bucket, "key long, mark long, hash binary")
+    return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(bucket, "key long, mark long, hash binary")
 
 
 def _sharded(told: DataFrame, warm: np.ndarray, shards: int) -> DataFrame:
@@ -204,6 +206,8 @@ def _sharded(told: DataFrame, warm: np.ndarray, shards: int) -> DataFrame:
             head[1:] = seg[order][1:] != seg[order][:-1]
             leader = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
             later = keys[doc[order]] > keys[doc[order[leader]]]
+            for x in np.flatnonzero(later).tolist():  # equal hashes are only a hint
+                later[x] = rows[order[x]] == rows[order[leader[x]]]
             done, sent = np.sort(order[later]), np.sort(order[head])
             # equal segments of one id: none repeats the other, all go on
             sent = np.sort(np.concatenate([sent, order[~head & ~later]]))
@@ -246,11 +250,27 @@ def _owners(segments: list[bytes], first: np.ndarray) -> list[np.ndarray]:
     return [out[b : b + n - LENGTH + 1] for b, n in zip(base.tolist(), size.tolist(), strict=True)]
 
 
-#: Bytes of distinct segments whose suffixes are ordered together.
-SORTED = 1 << 20
+#: Bytes of distinct segments whose suffixes are ordered together, and segments whose strings are listed together.
+SORTED, ROWS = 1 << 20, 1 << 16
 
 
-def _spans(shards: DataFrame) -> DataFrame:
+def _first_owners(segments: list[bytes], value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each distinct segment, the smallest first id for each of its strings; equal values stand together."""
+    size = np.array([len(x) for x in segments], np.int64) - LENGTH + 1
+    out: list[np.ndarray] = [np.full(n, x) for n, x in zip(size.tolist(), first.tolist(), strict=True)]
+    new = np.append(True, value[1:] != value[:-1])
+    several = np.flatnonzero(~(new & np.append(new[1:], True)))
+    if len(several):
+        turn = np.cumsum(size[several] + LENGTH) // SORTED
+        heads = new[several]
+        turn = turn[np.maximum.accumulate(np.where(heads, np.arange(len(several)), 0))]  # segments of one value stay together
+        for part in np.split(several, np.flatnonzero(np.diff(turn)) + 1):
+            for k, owners in zip(part.tolist(), _owners([segments[x] for x in part.tolist()], first[part]), strict=True):
+                out[k] = owners
+    return out
+
+
+def _spans(shards: DataFrame, tasks: int) -> DataFrame:
     """(key, mark, spans): for each document the packed (start, end) bytes to remove that one shard has found."""
 
     def shard(table: pa.Table) -> pa.Table:
@@ -265,21 +285,15 @@ def _spans(shards: DataFrame) -> DataFrame:
             data, starts = b"".join([r["bytes"] for r in held]), np.append(0, ends[:-1])
             rows, lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             order = np.argsort(value, kind="stable")
-            cut, n = [0], 0
-            for k, x in enumerate(order.tolist()):
-                if n > SORTED and value[x] != value[order[k - 1]]:
-                    cut.append(k)
-                    n = 0
-                n += int(count[x]) + LENGTH
-            for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-                own = order[a:b]
-                number: dict[bytes, int] = {}
-                which = np.array([number.setdefault(data[starts[x] : ends[x]], len(number)) for x in own.tolist()], np.int64)
-                first = np.full(len(number), NO_ID, np.int64)
-                np.minimum.at(first, which, key[own])
-                owners = _owners(list(number), first)
+            number: dict[tuple[int, bytes], int] = {}
+            which = np.array([number.setdefault((v, data[starts[x] : ends[x]]), len(number)) for x, v in zip(order.tolist(), value[order].tolist(), strict=True)], np.int64)
+            first = np.full(len(number), NO_ID, np.int64)
+            np.minimum.at(first, which, key[order])
+            owners = _first_owners([x for _, x in number], np.array([v for v, _ in number], np.uint64), first)
+            for a in range(0, len(order), ROWS):
+                own, numbers = order[a : a + ROWS], which[a : a + ROWS]
                 n = count[own]
-                from_first = np.concatenate([owners[w] for w in which.tolist()])
+                from_first = np.concatenate([owners[w] for w in numbers.tolist()])
                 row = np.repeat(own, n)
                 place = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 hit = from_first < key[row]
@@ -298,7 +312,7 @@ def _spans(shards: DataFrame) -> DataFrame:
         blobs = [pair[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(k)), strict=True)] if len(k) else []
         return pa.table([pa.array(k[heads]), pa.array(m[heads]), _packed(blobs)], names=["key", "mark", "spans"])
 
-    return shards.groupBy("shard").applyInArrow(shard, "key long, mark long, spans binary")
+    return shards.repartition(tasks, "shard").groupBy("shard").applyInArrow(shard, "key long, mark long, spans binary")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -306,11 +320,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(12, total // BUCKET_BYTES), max(12, total // SHARD_BYTES)
-    told = staged(_repeated(_hash_rows(docs, buckets), max(HOT, total // (LENGTH << 20))), "repeated")
+    tasks = max(12, total // TASK_BYTES)
+    told = staged(_repeated(_hash_rows(docs, buckets), max(HOT, total // (LENGTH << 20)), tasks), "repeated")
     warm = [np.frombuffer(r.hash, np.uint64) for r in told.filter("key IS NULL").select("hash").collect()]
     flags = told.filter("key IS NOT NULL").groupBy("key", "mark").agg(F.collect_list("hash").alias("hashes")).hint("shuffle_hash")
     with_flags = docs.select("key", "mark", "text").join(flags, ["key", "mark"]).select("key", "mark", "text", "hashes")
-    spans = _spans(_sharded(with_flags, np.concatenate([*warm, np.zeros(0, np.uint64)]), shards))
+    spans = _spans(_sharded(with_flags, np.concatenate([*warm, np.zeros(0, np.uint64)]), shards), tasks)
     return spans.groupBy("key", "mark").agg(F.collect_list("spans").alias("spans"))
 
 
