@@ -3,11 +3,14 @@
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)), with x_i = 1 for
 each distinct term of the text.  The pair part learns interactions, such as an insult together with
 a group's name, that no sum of single weights gives.  Terms are runs of letters and digits, lower
-case, and their stems of a few bytes, hashed to 64 bits.  Terms whose share of texts does not differ
-between the classes beyond chance have no parameters, so the model has at most ``MAX_TERMS`` rows.
+case, and their stems of a few bytes, hashed to 64 bits.  Terms whose share of texts differs between
+the classes beyond chance have a weight and a vector.  All other terms of at least ``PAIR_DOCS`` texts of
+the training sample have a vector only: by themselves they tell nothing, beside others they may.
 
 A null or empty text has no terms and gets sigmoid(w0).  Without labelled rows of both classes the
-machine is empty and every score is near 0.  Repeated rows are scored alike; other columns are ignored.
+machine is empty and every score is near 0.  Very long texts are scored whole, in the memory of their
+own terms.  An empty table gives no rows.  Repeated rows are scored alike; other columns are ignored by
+the digest and carried by ``kept``.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
 #: Bounds of the training sample and of the model.
 SAMPLE_DOCS, SAMPLE_BYTES = 6000, 1 << 15
-MIN_DOCS, SIGMAS, MAX_TERMS, RANK = 4, 3.0, 1 << 14, 6
+MIN_DOCS, PAIR_DOCS, SIGMAS, MAX_TERMS, RANK = 4, 128, 3.0, 1 << 14, 6
 #: Lengths in bytes of the stems that stand beside whole words.
 STEMS = (4, 5, 6)
-UPDATES, BATCH, RATE, DECAY, PRIOR = 1500, 64, 0.02, 1e-4, -2.0
+UPDATES, BATCH, RATE, PRIOR = 1500, 64, 0.02, -2.0
+DECAY, PAIR_DECAY = 1e-4, 1e-2
 
 
 def term_spans(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,15 +75,16 @@ def terms(texts: list[bytes], keys: np.ndarray | None = None) -> tuple[np.ndarra
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def telling(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sorted hashes of terms whose share of texts differs between the classes beyond chance, the strongest first if too many."""
+def parameters(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the terms that have parameters, and which of them have a weight; of too many, the strongest and the most frequent."""
     keys, inv = np.unique(h, return_inverse=True)
     a, n = np.bincount(inv, y[doc], len(keys)), np.bincount(inv, minlength=len(keys))
     share = y.mean()
     z = np.abs(a - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
     z[n < MIN_DOCS] = 0
-    keep = np.flatnonzero(z >= SIGMAS)
-    return np.sort(keys[keep[np.argsort(-z[keep], kind="stable")[:MAX_TERMS]]])
+    telling, common = z >= SIGMAS, n >= PAIR_DOCS
+    chosen = np.union1d(*(np.flatnonzero(mask)[np.argsort(-by[mask], kind="stable")[:MAX_TERMS]] for mask, by in ((telling, z), (common, n))))
+    return keys[chosen], telling[chosen]
 
 
 class FactorizationMachine:
@@ -111,31 +116,31 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> FactorizationMachine:
     if not rows or y.min() == y.max():
         return FactorizationMachine(np.zeros(0, np.uint64), -40.0, np.zeros(0), np.zeros((0, RANK)))
     texts = [r[0].encode() for r in rows]
-    keys = telling(*terms(texts), y)
-    rng = np.random.default_rng(seed)
-    fm = FactorizationMachine(keys, PRIOR, np.zeros(len(keys)), rng.normal(0, 0.01, (len(keys), RANK)))
-    if not len(keys):
+    keys, telling = parameters(*terms(texts), y)
+    rng, size = np.random.default_rng(seed), len(keys)
+    fm = FactorizationMachine(keys, PRIOR, np.zeros(size), rng.normal(0, 0.01, (size, RANK)))
+    if not size:
         return fm
     h, doc = terms(texts, keys)
     own, at = np.searchsorted(keys, h), np.searchsorted(doc, np.arange(len(y) + 1))
     heft = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    gw, gv = np.full(len(keys), 1e-2), np.full((len(keys), RANK), 1e-2)
+    gw, gv = np.full(size, 1e-2), np.full((size, RANK), 1e-2)
     for _ in range(-(-UPDATES * BATCH // len(y))):
         order = rng.permutation(len(y))
         for b in range(0, len(y), BATCH):
             docs = order[b : b + BATCH]
-            size = at[docs + 1] - at[docs]
-            idx = np.concatenate([own[at[d] : at[d + 1]] for d in docs])
-            doc = np.repeat(np.arange(len(docs)), size)
+            n = at[docs + 1] - at[docs]
+            idx = own[np.repeat(at[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            doc = np.repeat(np.arange(len(docs)), n)
             margin, sums = fm.margin(idx, doc, len(docs))
             g = heft[docs] * (sigmoid(margin) - y[docs]) / len(docs)
-            used, inv = np.unique(idx, return_inverse=True)
-            dw = np.bincount(inv, g[doc], len(used)) + DECAY * fm.w[used]
-            dv = np.stack([np.bincount(inv, g[doc] * (sums[doc, f] - fm.v[idx, f]), len(used)) for f in range(RANK)], 1) + DECAY * fm.v[used]
-            gw[used] += dw * dw
-            gv[used] += dv * dv
-            fm.w[used] -= 10 * RATE * dw / np.sqrt(gw[used])
-            fm.v[used] -= RATE * dv / np.sqrt(gv[used])
+            single = np.bincount(idx, g[doc], size)
+            dw = np.where(telling, single + DECAY * fm.w, 0)
+            dv = np.stack([np.bincount(idx, (g * sums[:, f])[doc], size) for f in range(RANK)], 1) - single[:, None] * fm.v + PAIR_DECAY * fm.v
+            gw += dw * dw
+            gv += dv * dv
+            fm.w -= 10 * RATE * dw / np.sqrt(gw)
+            fm.v -= RATE * dv / np.sqrt(gv)
             fm.w0 -= RATE * float(g.sum())
     return fm
 

@@ -192,6 +192,30 @@ def test_pairs_beat_sums():
     assert min(s for s, (_, y) in zip(score, rows) if y) > max(s for s, (_, y) in zip(score, rows) if not y)
 
 
+def test_pairs_without_telling_terms():
+    """An insult with one group's name or praise with the other's is toxic: each word is as frequent in both classes."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(1200):
+        a, b = k % 2, k // 2 % 2
+        rows.append((f"{prose(rng, 8)} {'zorg' if a else 'plim'} {'them' if b else 'trees'}", int(a != b)))
+    fm = toxicity.fit(rows[:900])
+    score = fm.score([t.encode() for t, _ in rows[900:]])
+    assert sum((s >= 0.7) == bool(y) for s, (_, y) in zip(score, rows[900:])) >= 295
+
+
+def test_toxicity_margin_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(3)
+    fm = toxicity.fit([(f"{prose(rng, 20)} {'zorg blarg' if k % 3 == 0 else 'plim'}", int(k % 3 == 0)) for k in range(300)])
+    texts = ["", "zorg", f"zorg zorg {prose(rng, 30)} BLARG", prose(rng, 3000), "zorg", "Ünï blarg"]
+    for t, got in zip(texts, fm.score([x.encode() for x in texts]), strict=True):
+        at = np.searchsorted(fm.keys, np.unique(toxicity.terms([t.encode()], fm.keys)[0]))
+        pairs = sum(float(fm.v[i] @ fm.v[j]) for i, j in itertools.combinations(at.tolist(), 2))
+        assert abs(got - 1 / (1 + np.exp(-(fm.w0 + fm.w[at].sum() + pairs)))) < 1e-9
+
+
 def test_quality_held_out(spark):
     docs, rows = labelled(spark, 300, lambda r: prose(r, 40), lambda r: " ".join(w + "$$$" for w in prose(r, 40).split()))
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
