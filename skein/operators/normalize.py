@@ -30,6 +30,18 @@ def parsed_json(payload: Column) -> Column:
     return F.when(F.try_variant_get(inside, "$[1]", "variant").isNull(), F.try_variant_get(inside, "$[0]", "variant"))
 
 
+#: A JSON text literal, or what stands between two of them.
+PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]+'
+
+
+def cleaned_json(text: Column) -> Column:
+    """Compact JSON with its keys and text values trimmed, their white space made single blanks, and cut."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    literal = lambda x: normalize_text(F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)))
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(literal(x))), r"(?s)^\[(.*)\]$", 1)
+    return F.array_join(F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit('"')), quoted(x)).otherwise(x)), "")
+
+
 def payload_leaves(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """(event_json) to (event_json, place, path, kind, text, number): leaves in document order, keys sorted.
 
@@ -81,7 +93,7 @@ def payload_keys(payloads: DataFrame) -> DataFrame:
     return parsed.select(
         "event_json",
         keys.otherwise(F.array(F.lit("__root__"))).alias("json_top_keys"),
-        F.when(F.col("v").isNull(), F.lit("{}")).when(F.col("object"), F.to_json("v")).otherwise(F.concat(F.lit('{"__root__":'), F.to_json("v"), F.lit("}"))).alias("event_json_canonical"),
+        F.when(F.col("v").isNull(), F.lit("{}")).when(F.col("object"), cleaned_json(F.to_json("v"))).otherwise(F.concat(F.lit('{"__root__":'), cleaned_json(F.to_json("v")), F.lit("}"))).alias("event_json_canonical"),
         F.when(F.col("v").isNull(), F.lit("invalid JSON")).otherwise(F.lit("")).alias("json_parse_error"),
     )
 

@@ -99,23 +99,35 @@ def token_vectors(train: DataFrame, size: int = 16, seed: int = 42) -> DataFrame
     return model.getVectors().select(F.col("word").cast("long").alias("token"), vector_to_array("vector").alias("vector"))
 
 
-def pooled(df: DataFrame, key: str, vectors: DataFrame, pooling: str = "mean") -> DataFrame:
-    """(key, embedding): mean of the token vectors, the last one, or both joined (``mean+last``).
+def pool_states(states: DataFrame, keys: list[str], pooling: str = "mean") -> DataFrame:
+    """(keys, embedding) from rows of keys, ``pos`` and ``vector``: place 0 is the leading CLS, events follow.
 
-    A token without a vector has that of UNK, or zeros if UNK has none; so has a key without tokens.
+    ``cls`` is the vector at place 0, ``mean`` that of the events (CLS if there are none), ``last`` the one
+    at the largest place; several joined by ``+`` stand one after the other.
     """
-    long = df.select(key, F.posexplode_outer("event_token_ids").alias("pos", "token")).withColumn("pos", F.coalesce("pos", F.lit(-1)))
+    names = pooling.split("+")
+    if not set(names) <= {"cls", "mean", "last"}:
+        raise ValueError(f"unknown pooling: {pooling}")
+    dims = states.select(*keys, "pos", F.posexplode("vector").alias("dim", "x"))
+    cls = F.max(F.when(F.col("pos") == 0, F.col("x")))
+    per = dims.groupBy(*keys, "dim").agg(cls.alias("cls"), F.coalesce(F.avg(F.when(F.col("pos") > 0, F.col("x"))), cls).alias("mean"), F.max_by("x", "pos").alias("last"))
+    rows = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "cls", "mean", "last"))).alias("s"))
+    part = {"cls": F.transform("s", lambda x: x["cls"]), "mean": F.transform("s", lambda x: x["mean"]), "last": F.transform("s", lambda x: x["last"])}
+    return rows.select(*keys, F.concat(*[part[c] for c in names]).alias("embedding"))
+
+
+def pooled(df: DataFrame, keys: str | list[str], vectors: DataFrame, pooling: str = "mean") -> DataFrame:
+    """(keys, embedding): the token vectors of each sequence behind that of CLS, pooled.
+
+    A token without a vector has that of UNK, or zeros if UNK has none; so has CLS, and a key without tokens.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    with_cls = F.concat(F.array(F.lit(CLS).cast("long")), F.transform(F.coalesce("event_token_ids", F.array()), lambda x: x.cast("long")))
+    long = df.select(*keys, F.posexplode(with_cls).alias("pos", "token"))
     width = vectors.agg(F.max(F.size("vector")).alias("n"), F.max(F.when(F.col("token") == UNK, F.col("vector"))).alias("unk"))
     other = width.select(F.coalesce("unk", F.array_repeat(F.lit(0.0), F.coalesce("n", F.lit(0)))).alias("other"))
     known = long.join(vectors, "token", "left").crossJoin(F.broadcast(other))
-    dims = known.select(key, "pos", F.posexplode(F.coalesce("vector", "other")).alias("dim", "x"))
-    per = dims.groupBy(key, "dim").agg(F.avg("x").alias("mean"), F.max_by("x", "pos").alias("last"))
-    names = pooling.split("+")
-    if not set(names) <= {"mean", "last"}:
-        raise ValueError(f"unknown pooling: {pooling}")
-    rows = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "last"))).alias("s"))
-    part = {"mean": F.transform("s", lambda x: x["mean"]), "last": F.transform("s", lambda x: x["last"])}
-    return rows.select(key, F.concat(*[part[c] for c in names]).alias("embedding"))
+    return pool_states(known.select(*keys, "pos", F.coalesce("vector", "other").alias("vector")), keys, pooling)
 
 
 def predict(df: DataFrame, make_model: Callable, inputs: list[str], out: str, shapes: list[list[int]] | None = None, batch: int = 1024) -> DataFrame:

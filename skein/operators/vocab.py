@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import staged
+
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[MASK]", "[CLS]")
-#: Rows of one step of ``global_row_number``.
-RUN = 1 << 20
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -21,9 +21,10 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
 def global_row_number(df: DataFrame, number: str, *order, runs: int = 16) -> DataFrame:
     """Row numbers from 0 over the whole table in the given order, without one task that sorts it all.
 
-    Rows are range-partitioned and numbered inside their range; the few range sizes are summed and joined.
+    Rows are range-partitioned and written once, as another plan of the same ranges may draw other bounds;
+    they are numbered inside their range, and the few range sizes are summed and joined.
     """
-    ranged = df.repartitionByRange(runs, *order).withColumn("__range", F.spark_partition_id())
+    ranged = staged(df.repartitionByRange(runs, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

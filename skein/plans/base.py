@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import hash_split
 from ..operators import labels, normalize, sequences, vocab
 from ..sources import tables
+from ..sources.scratch import staged
 
 LENGTHS, DAYS, SPANS, LAST_N, MIN_EVENTS = [10, 20, 50], [7, 14, 30], [7, 14, 28, 29], 32, 10
 PREFIX_KEYS = ["user_id", "prefix_len"]
@@ -57,10 +58,15 @@ def sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefixes(spark: SparkSession, d: str, lengths: list[int] = LENGTHS) -> DataFrame:
-    """Prefix arrays with split and retention labels: a table of the model, kept as several steps read it."""
+    """Prefix arrays with split and retention labels."""
     seq = sequence(spark, d)
     out = sequences.prefixes(seq, lengths).join(labels.prefix_labels(seq, lengths, DAYS), PREFIX_KEYS)
-    return out.withColumn("split", hash_split(F.col("user_id"))).persist()
+    return out.withColumn("split", hash_split(F.col("user_id")))
+
+
+def kept_prefixes(spark: SparkSession, d: str, lengths: list[int] = LENGTHS) -> DataFrame:
+    """The prefix table, written once for queries that read it in several steps."""
+    return staged(prefixes(spark, d, lengths), "prefixes")
 
 
 def text(c: str):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import GAP_BOUNDS, hash_share, hash_split, rounded_long, time_gap_id
+from ..functions.timing import GAP_BOUNDS, epoch_seconds, hash_share, hash_split, rounded_long, time_gap_id
 from ..operators import labels, normalize, sequences, splits, vocab
 from ..sources import files, tables
+from ..sources.scratch import scratch_path
 from .base import DAYS, LAST_N, LENGTHS, MIN_EVENTS, SPANS, common, event_vocab, normalized, prefixes, query, sequence, signed, text, tokens
 
 
@@ -50,6 +51,57 @@ def s12(spark, d):
     return files.ingest_audit(raw, raw.na.drop().filter("value < 90"))
 
 
+RAW = {"user_id": "device", "event_name": "name", "event_json": "payload", "event_datetime": "moment", "event_timestamp": "seconds", "session_id": "visit"}
+_RAW = """WITH r AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS device, ' ' || event_type || ' ' AS name, CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS payload,
+  CASE WHEN event_id % 13 = 0 THEN 'no time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment, CASE WHEN event_id % 17 = 0 THEN 'soon' ELSE CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) END AS seconds,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS visit FROM events) """
+
+
+def _raw_csv(spark, d):
+    """The events as a raw CSV, written and read again: quoted payloads, missing users, texts that are no times."""
+    path, rows = scratch_path(spark, "raw"), tables.table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    every = lambda n, other, value: F.when(F.col("event_id") % n == 0, F.lit(other).cast("string")).otherwise(value)
+    raw = rows.select(
+        F.col("event_id").cast("string").alias("event_id"),
+        every(11, "NULL", F.col("user_id").cast("string")).alias("device"),
+        F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("name"),
+        every(5, "", F.col("props")).alias("payload"),
+        every(13, "no time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("moment"),
+        every(17, "soon", epoch_seconds(F.col("ts")).cast("string")).alias("seconds"),
+        every(3, "None", F.to_date("ts").cast("string")).alias("visit"),
+    )
+    raw.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_raw_csv(spark, path, ["event_id", *RAW.values()])
+
+
+@query("q_s1_raw_csv", _RAW + "SELECT CAST(event_id AS VARCHAR) AS event_id, device, name, payload, moment, seconds, visit FROM r")
+def s1(spark, d):
+    return _raw_csv(spark, d)
+
+
+@query("q_s2_required_columns", _RAW + "SELECT device, seconds FROM r")
+def s2(spark, d):
+    return files.require_columns(_raw_csv(spark, d), ["device", "seconds"])
+
+
+_CLEAN = _RAW + "SELECT {columns} FROM r WHERE device IS NOT NULL AND moment <> 'no time' AND seconds <> 'soon'"
+
+
+@query("q_p2_coerced", _CLEAN.format(columns="device AS user_id, trim(name) AS event_name, coalesce(payload, '{}') AS event_json, CAST(seconds AS BIGINT) AS event_timestamp"))
+def p2(spark, d):
+    return files.clean_events(_raw_csv(spark, d), RAW).select("user_id", "event_name", "event_json", "event_timestamp")
+
+
+@query("q_p3_unparsed_times", _CLEAN.format(columns="device AS user_id, CAST(moment AS TIMESTAMP) AS event_datetime, CAST(seconds AS BIGINT) AS event_timestamp"))
+def p3(spark, d):
+    return files.clean_events(_raw_csv(spark, d), RAW).select("user_id", "event_datetime", "event_timestamp")
+
+
+@query("q_p4_canonical_names", _CLEAN.format(columns="device AS user_id, trim(name) AS event_name, visit AS session_id"))
+def p4(spark, d):
+    return files.clean_events(_raw_csv(spark, d), RAW).select("user_id", "event_name", "session_id")
+
+
 # ---- filters and projections
 
 
@@ -77,6 +129,19 @@ def p7(spark, d):
     return vocab.encode_tokens(events, small, "props", "token_id").select("event_id", "token_id")
 
 
+@query("q_p8_metadata_columns", common("SELECT user_id, prefix_len, split, num_events_total, prefix_start_ts, prefix_end_ts, next_event_token_id, available AS label_available_retention_14d, CASE WHEN available THEN CAST(seen AS INTEGER) END AS label_retention_14d FROM lab WHERE d = 14"))
+def p8(spark, d):
+    rows = prefixes(spark, d)
+    return labels.metadata_columns(labels.drop_labels(rows, ("label_available_retention_14d", "label_retention_14d")))
+
+
+@query("q_p14_new_labels", common("SELECT px.user_id, prefix_len, CAST(last_event_ts - first_event_ts >= 7 * 86400 AS INTEGER) AS label_retention_7d FROM px JOIN usr ON px.user_id = usr.user_id"))
+def p14(spark, d):
+    rows, seq = prefixes(spark, d), sequence(spark, d)
+    fresh = labels.duration_labels(sequences.users(seq), [7]).select("user_id", "label_retention_7d")
+    return labels.join_many_to_one(labels.drop_labels(rows), fresh, ["user_id"]).select("user_id", "prefix_len", "label_retention_7d")
+
+
 @query("q_p10_eligible_rows", common("SELECT user_id, prefix_len FROM lab WHERE d = 7 AND available AND prefix_len = 20 AND split = 'train'"))
 def p10(spark, d):
     from ..operators.probes import eligible
@@ -204,10 +269,10 @@ def w1(spark, d):
 
 
 @query("q_w2_prefixes", common("""SELECT px.user_id, px.prefix_len, array_to_string(ids, ' ') AS event_token_ids, next_event_token_id, prefix_end_ts,
-  available AS label_available_retention_7d, CASE WHEN available THEN CAST(seen AS INTEGER) END AS label_retention_7d FROM lab px WHERE d = 7 AND prefix_len = 20"""))
+  available AS label_available_retention_7d, CASE WHEN available THEN CAST(seen AS INTEGER) END AS label_retention_7d FROM lab px WHERE d = 7"""))
 def w2(spark, d):
-    """Each user's first 20 events: tokens, next token, 7-day retention."""
-    rows = prefixes(spark, d, [20])
+    """Each user's first 10, 20 and 50 events: tokens, next token, 7-day retention."""
+    rows = prefixes(spark, d)
     return rows.select("user_id", "prefix_len", text("event_token_ids"), "next_event_token_id", "prefix_end_ts", "label_available_retention_7d", "label_retention_7d")
 
 

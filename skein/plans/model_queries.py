@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -13,8 +12,9 @@ from ..functions.timing import hash_split
 from ..functions.vectors import clip_probability, entropy, l2_normalize
 from ..operators import features, markov, metrics, normalize, prep, probes, report
 from ..sources import files, tables
+from ..sources.scratch import scratch_path
 from ..streaming.ingest import ingest_new_files
-from .base import LENGTHS, PREFIX_KEYS, common, prefixes, query, sequence, text
+from .base import DAYS, LENGTHS, PREFIX_KEYS, common, kept_prefixes, prefixes, query, sequence, text
 
 
 def rounded(df, *columns, digits: int = 6):
@@ -100,6 +100,24 @@ def x14(spark, d):
     return rows.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+_KEYED = "SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM conversations"
+_CLEANED = "CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '...' ELSE t END"
+
+
+@query("q_x5_canonical_json", f"""SELECT DISTINCT '{{"a key":[' || CAST(to_json({_CLEANED}) AS VARCHAR) || ',1,true],"b":{{"c":null}}}}' AS event_json_canonical FROM ({_KEYED})""")
+def x5(spark, d):
+    rows = tables.table(spark, d, "conversations", ["text"])
+    quoted = F.regexp_extract(F.to_json(F.array(F.coalesce("text", F.lit("")))), r"(?s)^\[(.*)\]$", 1)
+    payload = F.concat(F.lit('{"b" : {"c":null}, " a  key ": ['), quoted, F.lit(" , 1, true]}"))
+    return normalize.payload_keys(rows.select(payload.alias("event_json")).distinct()).select("event_json_canonical").distinct()
+
+
+@query("q_x15_props_leaves", "SELECT DISTINCT props AS event_json, CAST(row_number() OVER (PARTITION BY props ORDER BY k) AS INTEGER) AS place, k AS path, json_extract_string(props, '$.' || k) AS text FROM (SELECT DISTINCT props, unnest(json_keys(props)) AS k FROM events)")
+def x15_props(spark, d):
+    payloads = tables.events(spark, d).select("event_json").distinct()
+    return normalize.payload_leaves(payloads).select("event_json", "place", "path", "text")
+
+
 # ---- transitions
 
 
@@ -129,7 +147,7 @@ def t4(spark, d):
 
 @query("q_j9_successors", common("""SELECT user_id, prefix_len, coalesce(array_to_string(s.succ, ' '), '') AS succ FROM px LEFT JOIN (SELECT l, list(n ORDER BY rank) AS succ FROM mk GROUP BY 1) s ON l = last_event_token_id"""))
 def j9(spark, d):
-    rows = prefixes(spark, d)
+    rows = kept_prefixes(spark, d)
     df = markov.last_token(rows).join(markov.successors(markov.markov_stats(_train(rows))), "last_event_token_id", "left")
     succ = F.array_join(F.transform("succ", lambda x: x["next"].cast("string")), " ")
     return df.select("user_id", "prefix_len", F.coalesce(succ, F.lit("")).alias("succ"))
@@ -144,13 +162,13 @@ _SHARES = ("mrr_at_10", "hit_at_5", "hit_at_10")
 
 @query("q_m8_most_popular", common(_POPULAR))
 def m8(spark, d):
-    rows = prefixes(spark, d)
+    rows = kept_prefixes(spark, d)
     return rounded(metrics.rank_metrics(markov.predict_popular(rows, _train(rows)), "MostPopular"), *_SHARES)
 
 
 @query("q_m9_markov_predictor", common(_MARKOV))
 def m9(spark, d):
-    rows = prefixes(spark, d)
+    rows = kept_prefixes(spark, d)
     return rounded(metrics.rank_metrics(markov.predict_markov(rows, _train(rows)), "Markov1"), *_SHARES)
 
 
@@ -161,7 +179,7 @@ def u2(spark, d):
 
 @query("q_a11_rank_metrics", common(_POPULAR.replace("popular, next_event_token_id", "popular[1:3], next_event_token_id")))
 def a11(spark, d):
-    rows = prefixes(spark, d)
+    rows = kept_prefixes(spark, d)
     return rounded(metrics.rank_metrics(markov.predict_popular(rows, _train(rows)), "MostPopular", k=3), *_SHARES)
 
 
@@ -186,7 +204,7 @@ _MARKOV_FEATURES = """SELECT px.user_id, px.prefix_len, round(coalesce(t, 0)::DO
 
 @query("q_f1_markov_features", common(_MARKOV_FEATURES))
 def f1(spark, d):
-    rows = prefixes(spark, d)
+    rows = kept_prefixes(spark, d)
     out = markov.markov_features(rows, markov.markov_stats(_train(rows)))
     return rounded(out.select("user_id", "prefix_len", *_MARKOV_COLUMNS), *_MARKOV_COLUMNS)
 
@@ -198,27 +216,40 @@ def f2(spark, d):
     return rows.select("user_id", "prefix_len", F.explode("terms").alias("term")).groupBy("user_id", "prefix_len", "term").agg(F.count("*").alias("count"))
 
 
-@query("q_f3_feature_hashing")
+@query("q_f3_feature_hashing", common("SELECT user_id, prefix_len, CAST(2 * len(ids) - 1 + least(5, len(ids)) AS DOUBLE) AS n_terms FROM px"))
 def f3(spark, d):
-    rows = features.hashed_features(features.hashed_terms(prefixes(spark, d)))
-    size = F.udf(lambda v: float(v.values.sum()), T.DoubleType())
-    return rows.select("user_id", "prefix_len", size("features").alias("n_terms"))
+    cells = features.stacked_cells(features.hashed_terms(prefixes(spark, d)), PREFIX_KEYS)
+    return cells.select(*PREFIX_KEYS, F.aggregate("val", F.lit(0.0), lambda s, x: s + x).alias("n_terms"))
+
+
+_NUMBERS = (
+    "prefix_len", "num_events_total", "unique_event_count", "event_entropy", "repeat_count", "repeat_rate", "session_boundary_count", "gap_mean", "gap_std", "gap_max",
+    "markov_last_total_count", "markov_top1_prob", "markov_top10_entropy", *[f"last_event_{i}" for i in range(1, 6)],
+)
+
+
+def _decomposed(spark, d):
+    """Hashed terms of all prefixes with the numeric columns behind them, in 128 components."""
+    rows = kept_prefixes(spark, d)
+    dense = features.dense_features(rows, markov.markov_stats(_train(rows)), PREFIX_KEYS)
+    terms = features.hashed_terms(rows).select(*PREFIX_KEYS, "terms")
+    joined = terms.join(dense, PREFIX_KEYS).select("user_id", "split", "prefix_len", "terms", *[F.col(c).alias(f"x_{c}") for c in _NUMBERS])
+    cells = features.stacked_cells(joined, ["user_id", "split", "prefix_len"], dense=tuple(f"x_{c}" for c in _NUMBERS))
+    return features.truncated_svd(cells, ["user_id", "split", "prefix_len"])
 
 
 @query("q_f4_truncated_svd")
 def f4(spark, d):
-    rows = features.hashed_features(features.hashed_terms(prefixes(spark, d, [20])), 1 << 12)
-    return features.truncated_svd(rows, PREFIX_KEYS, "features", 8)[0]
+    return _decomposed(spark, d)[0]
 
 
 @query("q_f5_explained_variance")
 def f5(spark, d):
-    rows = features.hashed_features(features.hashed_terms(prefixes(spark, d, [20])), 1 << 12)
-    return features.truncated_svd(rows, PREFIX_KEYS, "features", 8)[1]
+    return _decomposed(spark, d)[1]
 
 
 def _dense(spark, d):
-    rows = prefixes(spark, d)
+    rows = kept_prefixes(spark, d)
     return features.dense_features(rows, markov.markov_stats(_train(rows)), PREFIX_KEYS)
 
 
@@ -233,42 +264,62 @@ def f6(spark, d):
 # ---- training rows
 
 
-@query("q_d1_model_inputs", common("""SELECT user_id, prefix_len, array_to_string(list_concat(([3] || ids)[1:24], list_transform(range(greatest(0, 24 - len(ids) - 1)), lambda x: 0)), ' ') AS input_ids,
-  array_to_string(list_transform(range(24), lambda i: CASE WHEN i < len(ids) + 1 THEN 1 ELSE 0 END), ' ') AS attention_mask FROM px"""))
+#: CLS and the longest prefix.
+_INPUT_LENGTH = max(LENGTHS) + 1
+
+
+@query("q_d1_model_inputs", common("""SELECT user_id, prefix_len, array_to_string(list_concat(([3] || ids)[1:51], list_transform(range(greatest(0, 51 - len(ids) - 1)), lambda x: 0)), ' ') AS input_ids,
+  array_to_string(list_transform(range(51), lambda i: CASE WHEN i < len(ids) + 1 THEN 1 ELSE 0 END), ' ') AS attention_mask FROM px"""))
 def d1(spark, d):
-    rows = prep.model_inputs(prefixes(spark, d), 24)
+    rows = prep.model_inputs(prefixes(spark, d), _INPUT_LENGTH)
     return rows.select("user_id", "prefix_len", text("input_ids"), text("attention_mask"))
 
 
-_U = "CAST(concat('0x', substr(sha256('42{k}:' || user_id || ':' || CAST(pos AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+_U = "CAST(concat('0x', substr(sha256('42{k}:' || row || ':' || CAST(pos AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def _with_row(rows):
+    """One key for user and prefix length."""
+    return rows.withColumn("row", F.concat_ws(":", "user_id", F.col("prefix_len").cast("string")))
 
 
-@query("q_d2_mask_tokens", common(f"""SELECT user_id, pos, token, CASE WHEN NOT chosen THEN token WHEN uk < 0.8 THEN 2 WHEN ur < 0.1 THEN CAST(floor(ut * 96) AS BIGINT) + 4 ELSE token END AS masked_token, CASE WHEN chosen THEN token ELSE -100 END AS label
-  FROM (SELECT *, free AND (u < 0.15 OR row_number() OVER (PARTITION BY user_id ORDER BY free DESC, u, pos) = 1) AS chosen FROM (SELECT *, token NOT IN (0, 2, 3) AS free, {_U.format(k="m")} AS u, {_U.format(k="k")} AS uk, {_U.format(k="r")} AS ur, {_U.format(k="t")} AS ut
-  FROM (SELECT user_id, CAST(unnest(range(24)) AS INTEGER) AS pos, unnest(([3] || ids)[1:24] || list_transform(range(greatest(0, 23 - len(ids))), lambda x: 0)) AS token FROM px WHERE prefix_len = 20)))"""))
+@query("q_d2_mask_tokens", common(f"""SELECT row, pos, token, CASE WHEN NOT chosen THEN token WHEN uk < 0.8 THEN 2 WHEN ur < 0.1 THEN CAST(floor(ut * 96) AS BIGINT) + 4 ELSE token END AS masked_token, CASE WHEN chosen THEN token ELSE -100 END AS label
+  FROM (SELECT *, free AND (u < 0.15 OR row_number() OVER (PARTITION BY row ORDER BY free DESC, u, pos) = 1) AS chosen FROM (SELECT *, token NOT IN (0, 2, 3) AS free, {_U.format(k="m")} AS u, {_U.format(k="k")} AS uk, {_U.format(k="r")} AS ur, {_U.format(k="t")} AS ut
+  FROM (SELECT user_id || ':' || CAST(prefix_len AS VARCHAR) AS row, CAST(unnest(range(51)) AS INTEGER) AS pos, unnest([3] || ids || list_transform(range(50 - len(ids)), lambda x: 0)) AS token FROM px)))"""))
 def d2(spark, d):
-    return prep.mask_tokens(prep.model_inputs(prefixes(spark, d, [20]), 24), "user_id", vocab_size=100)
+    return prep.mask_tokens(prep.model_inputs(_with_row(prefixes(spark, d)), _INPUT_LENGTH), "row", vocab_size=100)
 
 
 @query("q_d3_augmented_views")
 def d3(spark, d):
-    rows = prefixes(spark, d, [20])
-    return prep.augmented_view(rows, "user_id", {"mask": 0.3, "crop": 0.4, "reorder": 0.3}, "1").select("user_id", "view_kind", text("event_token_ids"))
+    rows = _with_row(prefixes(spark, d))
+    return prep.augmented_view(rows, "row", {"mask": 0.3, "crop": 0.4, "reorder": 0.3}, "1").select("user_id", "prefix_len", "view_kind", text("event_token_ids"))
 
 
-@query("q_d4_pooled_mean", common("""SELECT user_id, round(avg(id_part), 6) AS m0, round(avg(square_part), 6) AS m1 FROM (SELECT user_id, CAST(unnest(ids) AS DOUBLE) / 7 AS id_part, CAST(unnest(ids) * unnest(ids) AS DOUBLE) AS square_part FROM px WHERE prefix_len = 20) GROUP BY 1"""))
+def _id_vectors(rows):
+    """(token, vector) of x / 7 and x * x, for tokens and CLS."""
+    ids = rows.select(F.explode("event_token_ids").alias("token")).union(rows.select(F.lit(prep.CLS).cast("long"))).distinct()
+    return ids.select("token", F.array(F.col("token") / 7.0, (F.col("token") * F.col("token")).cast("double")).alias("vector"))
+
+
+@query("q_d4_pooled_mean", common("""SELECT user_id, prefix_len, round(avg(id_part), 6) AS m0, round(avg(square_part), 6) AS m1 FROM (SELECT user_id, prefix_len, CAST(unnest(ids) AS DOUBLE) / 7 AS id_part, CAST(unnest(ids) * unnest(ids) AS DOUBLE) AS square_part FROM px) GROUP BY 1, 2"""))
 def d4(spark, d):
-    rows = prefixes(spark, d, [20])
-    ids = rows.select(F.explode("event_token_ids").alias("token")).distinct()
-    vectors = ids.select("token", F.array(F.col("token") / 7.0, (F.col("token") * F.col("token")).cast("double")).alias("vector"))
-    out = prep.pooled(rows, "user_id", vectors, "mean")
-    return out.select("user_id", F.round(F.col("embedding")[0], 6).alias("m0"), F.round(F.col("embedding")[1], 6).alias("m1"))
+    rows = prefixes(spark, d)
+    out = prep.pooled(rows, PREFIX_KEYS, _id_vectors(rows), "mean")
+    return out.select(*PREFIX_KEYS, F.round(F.col("embedding")[0], 6).alias("m0"), F.round(F.col("embedding")[1], 6).alias("m1"))
+
+
+@query("q_d4_pooled_cls_last", common("SELECT user_id, prefix_len, round(3 / 7.0::DOUBLE, 6) AS c0, 9.0::DOUBLE AS c1, round(ids[-1] / 7.0::DOUBLE, 6) AS l0, CAST(ids[-1] * ids[-1] AS DOUBLE) AS l1 FROM px"))
+def d4_cls(spark, d):
+    rows = prefixes(spark, d)
+    out = prep.pooled(rows, PREFIX_KEYS, _id_vectors(rows), "cls+last")
+    return out.select(*PREFIX_KEYS, *[F.round(F.col("embedding")[i], 6).alias(c) for i, c in enumerate(("c0", "c1", "l0", "l1"))])
 
 
 @query("q_d4_sequence_embeddings")
 def d4_learned(spark, d):
-    rows = prefixes(spark, d, [20])
-    return prep.pooled(rows, "user_id", prep.token_vectors(_train(rows), 8), "mean+last")
+    rows = kept_prefixes(spark, d)
+    return prep.pooled(rows, PREFIX_KEYS, prep.token_vectors(_train(rows), 8), "mean+last")
 
 
 def _make_model():
@@ -444,7 +495,7 @@ def _grid(spark, d, name, stages):
 
 def _linear(mode, n, **how):
     stages = probes.preprocess(mode, "vector", "x", **how)
-    return [*stages, probes.logistic("x" if stages else "vector", n, 200)]
+    return [*stages, probes.logistic("x" if stages else "vector", n)]
 
 
 @query("q_m1_preprocess_modes")
@@ -463,18 +514,18 @@ def m3(spark, d):
     rows = _dense(spark, d)
     columns = probes.feature_columns(rows)
     table = probes.assembled(rows, columns, "vector")
-    return probes.evaluation_grid({"baseline_logreg": (table, partial(_linear, "zscore"))}, ["retention_7d"], LENGTHS[:2])
+    return probes.evaluation_grid({"baseline_features_logreg_clean": (table, partial(_linear, "zscore"))}, [f"retention_{x}d" for x in DAYS], LENGTHS)
 
 
 @query("q_m4_boosted_trees")
 def m4(spark, d):
-    return _grid(spark, d, "boosted", lambda n: [probes.boosted_trees("vector", 10)])
+    return _grid(spark, d, "boosted", lambda n: [probes.boosted_trees("vector")])
 
 
 @query("q_m5_perceptron")
 def m5(spark, d):
     width = len(tables.table(spark, d, "embeddings", ["embedding"]).first().embedding)
-    return _grid(spark, d, "mlp", lambda n: [*probes.preprocess("zscore", "vector", "x"), probes.perceptron("x", width, 16, 40)])
+    return _grid(spark, d, "mlp", lambda n: [*probes.preprocess("zscore", "vector", "x"), probes.perceptron("x", width)])
 
 
 @query("q_m6_evaluation_grid")
@@ -484,25 +535,70 @@ def m6(spark, d):
     return probes.evaluation_grid(probes.chosen_models(models, ["plain", "scaled"]), ["target"], [20])
 
 
-# ---- sinks and streams
+def _named(spark, d):
+    """The named models over the embeddings: whole vectors as CLS and mean, halves as the SVD, two numbers as features."""
+    rows = tables.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("user_id"), F.lit(20).alias("prefix_len"), "vec_id", "embedding", (F.col("label") % 2).alias("label_x"))
+    numbers = rows.select("user_id", "prefix_len", "label_x", F.col("embedding")[0].alias("first"), F.lit(1.0).alias("markov_actual_prob"))
+    half = rows.filter("vec_id % 2 = 0").withColumn("embedding", F.slice("embedding", 1, 3))
+    rows, half = rows.drop("vec_id"), half.drop("vec_id")
+    return probes.named_models(rows, rows, half, numbers, leaking=True, perceptrons=True)
+
+
+def _sizes(models):
+    """Rows of each model's table, its numbers a row and its kind of probe."""
+    out = []
+    for name, (table, kind) in models.items():
+        width = F.size("embedding") if "embedding" in table.columns else F.lit(len(probes.feature_columns(table, leaking=True)))
+        out.append(table.groupBy(width.cast("int").alias("width")).agg(F.count("*").alias("num_rows")).select(F.lit(name).alias("model_name"), F.lit(kind).alias("probe"), "width", "num_rows"))
+    return report.union_all(out)
+
 
+_MODELS = """WITH e AS (SELECT vec_id, CAST(len(embedding) AS INTEGER) AS w FROM embeddings) SELECT model_name, probe, width, num_rows FROM (
+  SELECT unnest(['main_cls_logreg', 'main_mean_logreg', 'main_cls_mlp', 'main_mean_mlp']) AS model_name, unnest(['logistic', 'logistic', 'perceptron', 'perceptron']) AS probe, w AS width, n AS num_rows FROM (SELECT w, count(*) AS n FROM e GROUP BY 1)
+  UNION ALL SELECT 'baseline_svd_logreg', 'logistic', CAST(least(w, 3) AS INTEGER), count(*) FROM e WHERE vec_id % 2 = 0 GROUP BY 3
+  UNION ALL SELECT 'combined_cls_baseline_svd_logreg', 'logistic', CAST(w + least(w, 3) AS INTEGER), count(*) FROM e WHERE vec_id % 2 = 0 GROUP BY 3
+  UNION ALL SELECT 'baseline_features_' || unnest(['logreg', 'hgb', 'logreg', 'hgb']) || unnest(['_clean', '_clean', '_legacy', '_legacy']), unnest(['tabular', 'boosted', 'tabular', 'boosted']), CAST(unnest([1, 1, 2, 2]) AS INTEGER), n FROM (SELECT count(*) AS n FROM e))"""
 
-def _scratch(spark) -> str:
-    """A new folder below the shared one that the cluster names, else below the temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/skein-scratch"
-    return f"{where.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+@query("q_m7_named_models", _MODELS)
+def m7(spark, d):
+    return _sizes(_named(spark, d))
+
+
+@query("q_p13_chosen_models", _MODELS + " WHERE model_name IN ('main_mean_logreg', 'combined_cls_baseline_svd_logreg')")
+def p13(spark, d):
+    return _sizes(probes.chosen_models(_named(spark, d), ["combined_cls_baseline_svd_logreg", "main_mean_logreg"]))
+
+
+@query("q_p9_feature_columns", "SELECT CAST(l_orderkey AS VARCHAR) AS user_id, l_linenumber AS prefix_len, l_quantity AS gap_mean, l_tax AS repeat_rate FROM lineitem")
+def p9(spark, d):
+    rows = tables.table(spark, d, "lineitem").selectExpr(
+        "cast(l_orderkey AS string) AS user_id", "l_returnflag AS split", "l_linenumber AS prefix_len", "l_quantity AS gap_mean", "l_tax AS repeat_rate",
+        "l_discount AS markov_actual_prob", "l_suppkey AS next_event_token_id", "l_partkey AS label_retention_7d", "l_linestatus AS note",
+    )
+    return rows.select("user_id", "prefix_len", *probes.feature_columns(rows))
+
+
+@query("q_j6_metadata_of_joined", "SELECT vec_id, label, 2 * CAST(len(embedding) AS INTEGER) AS width FROM embeddings WHERE vec_id % 3 = 0")
+def j6(spark, d):
+    left = tables.table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    right = left.filter("vec_id % 3 = 0").select("vec_id", "embedding", F.lit(-1).alias("label"))
+    return probes.joined_embeddings(left, right, ["vec_id"]).select("vec_id", "label", F.size("embedding").alias("width"))
+
+
+# ---- sinks and streams
 
 
 @query("q_s3_zstd_sink", "SELECT user_id, event_type, value FROM events")
 def s3(spark, d):
-    path = _scratch(spark)
+    path = scratch_path(spark, "sink")
     files.write_table(tables.table(spark, d, "events", ["user_id", "event_type", "value"]), path, rows_per_file=100_000)
     return spark.read.parquet(path)
 
 
 @query("q_s9_metrics_csv", _CELLS + "SELECT target, prefix_len, model_name, split, roc_auc, num_rows FROM m")
 def s9(spark, d):
-    path, rows = _scratch(spark), _cells(spark, d).drop("pr_auc")
+    path, rows = scratch_path(spark, "sink"), _cells(spark, d).drop("pr_auc")
     files.write_metrics(rows, path)
     return files.read_metrics(spark, path, rows.schema).select("target", "prefix_len", "model_name", "split", "roc_auc", "num_rows")
 
@@ -511,14 +607,14 @@ def s9(spark, d):
 def s11(spark, d):
     from ..operators import sequences, splits
 
-    path = _scratch(spark)
+    path = scratch_path(spark, "sink")
     files.write_table(splits.assign_splits(sequences.users(tables.events(spark, d)), None), path, by=["split"])
     return spark.read.parquet(path).select("user_id", "split", "num_events")
 
 
 @query("q_st1_stream_ingest", "SELECT CAST(user_id AS VARCHAR) AS user_id, 'event=' || trim(event_type) AS event_token FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
 def st1(spark, d):
-    path = _scratch(spark)
+    path = scratch_path(spark, "sink")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
 
     def stages(df):

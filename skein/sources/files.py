@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,14 +55,16 @@ def ingest_audit(raw: DataFrame, clean: DataFrame) -> DataFrame:
     return counts.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_out"))
 
 
-def clean_split_map(df: DataFrame, user_col: str, split_col: str) -> DataFrame:
-    """(user_id, split) with aliases resolved; unknown splits go; a user with two splits is an error."""
+def clean_split_map(df: DataFrame, user_col: str, split_col: str, order: Column | None = None) -> DataFrame:
+    """(user_id, split) with aliases resolved; unknown splits go; of several rows of a user the last one holds.
+
+    The last is that of the largest ``order``, by default the row's place in the input.
+    """
     alias = F.create_map(*[F.lit(x) for pair in SPLIT_ALIASES.items() for x in pair])
-    rows = df.select(F.col(user_col).cast("string").alias("user_id"), F.lower(py_strip(F.col(split_col))).alias("raw"))
-    rows = rows.select("user_id", alias[F.col("raw")].alias("split")).na.drop()
-    one = rows.groupBy("user_id").agg(F.min("split").alias("split"), F.max("split").alias("other"))
-    clash = F.raise_error(F.concat(F.lit("two splits for user "), F.col("user_id")))
-    return one.select("user_id", F.when(F.col("split") == F.col("other"), F.col("split")).otherwise(clash).alias("split"))
+    place = F.monotonically_increasing_id() if order is None else order
+    rows = df.select(F.col(user_col).cast("string").alias("user_id"), F.lower(py_strip(F.col(split_col))).alias("raw"), place.alias("place"))
+    rows = rows.select("user_id", alias[F.col("raw")].alias("split"), "place").na.drop(subset=["user_id", "split"])
+    return rows.groupBy("user_id").agg(F.max_by("split", "place").alias("split"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 0, by: list[str] | None = None) -> None:

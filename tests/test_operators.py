@@ -82,8 +82,9 @@ def test_checked_label_join(spark):
 def test_splits(spark):
     raw = spark.createDataFrame([(1, " VAL "), (2, "tst"), (3, "dev"), (1, "valid")], "u int, s string")
     assert {r.user_id: r.split for r in files.clean_split_map(raw, "u", "s").collect()} == {"1": "valid", "2": "test"}
-    with pytest.raises(Exception, match="two splits"):
-        files.clean_split_map(raw.unionByName(spark.createDataFrame([(2, "train")], raw.schema)), "u", "s").collect()
+    later = raw.coalesce(1).unionByName(spark.createDataFrame([(2, "train"), (2, "odd")], raw.schema).coalesce(1))
+    assert {r.user_id: r.split for r in files.clean_split_map(later, "u", "s").collect()} == {"1": "valid", "2": "train"}
+    assert {r.user_id: r.split for r in files.clean_split_map(later, "u", "s", F.col("s")).collect()} == {"1": "valid", "2": "test"}
     with pytest.raises(ValueError):
         splits.assign_splits(raw, raw, "guess")
 
@@ -130,14 +131,35 @@ def test_svd_matches_numpy(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    x = (rng.random((30, 12)) < 0.4).astype(float)
-    from pyspark.ml.linalg import Vectors
-
-    df = spark.createDataFrame([(i, Vectors.sparse(12, {int(j): float(v) for j, v in enumerate(row) if v})) for i, row in enumerate(x)], ["k", "features"])
-    out, figures = features.truncated_svd(df, ["k"], "features", 3)
+    x = (rng.random((60, 12)) < 0.4) * rng.integers(1, 4, (60, 12)).astype(float)
+    cells = [(i, [j for j in range(12) for _ in range(int(row[j]))], [1.0] * int(row.sum())) for i, row in enumerate(x)]
+    df = spark.createDataFrame([*cells, (60, [], [])], "k long, idx array<int>, val array<double>")
+    out, figures = features.truncated_svd(df, ["k"], 3)
     z = np.array([r.embedding for r in out.orderBy("k").collect()])
-    assert np.allclose(np.linalg.norm(z, axis=0), np.linalg.svd(x)[1][:3], atol=1e-3)
-    assert 0 < figures.first().explained_ratio < 1
+    u, s, vt = np.linalg.svd(x)
+    assert np.allclose(np.linalg.norm(z, axis=0), s[:3], rtol=1e-4) and np.allclose(np.abs(z[:60]), np.abs(x @ vt[:3].T), atol=1e-3) and not z[60].any()
+    full = np.vstack([x, np.zeros(12)])
+    assert abs(figures.first().explained_ratio - z.var(0).sum() / full.var(0).sum()) < 1e-6
+
+
+def test_stacked_cells(spark):
+    df = features.hashed_terms(frame(spark).filter("event_token_ids = array(1L, 2L)")).withColumn("x", F.lit(2.5)).withColumn("y", F.lit(None).cast("double"))
+    r = features.stacked_cells(df, ["user_id"], 64, ("x", "y")).first()
+    assert (r.idx[-2:], r.val) == ([64, 65], [1.0] * 5 + [2.5, 0.0]) and all(0 <= i < 64 for i in r.idx[:-2])
+
+
+def test_row_numbers_of_wide_rows(spark):
+    """Columns beyond the order must not change which range a row is in; more rows than the bounds are drawn from."""
+    n = 400_000
+    wide = spark.range(n).select((F.xxhash64("id") % 1000).alias("a"), F.xxhash64("id").alias("b"), F.sha2(F.col("id").cast("string"), 256).alias("note"))
+    r = vocab.global_row_number(wide, "n", "a", "b", runs=16).agg(F.countDistinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    assert (r.d, r.lo, r.hi) == (n, 0, n - 1)
+
+
+def test_canonical_json(spark):
+    text = '{" b  key ":{"y":" a\\n b ","x":[1.5,"q\\"uo, te: [\\"]"]},"a":"' + "z" * 81 + '"}'
+    assert parsed(spark, text).event_json_canonical == '{"b key":{"x":[1.5,"q\\"uo, te: [\\"]"],"y":"a b"},"a":"' + "z" * 80 + '..."}'
+    assert parsed(spark, '[" a "]').event_json_canonical == '{"__root__":["a"]}'
 
 
 def test_model_inputs_masks_and_views(spark):
@@ -161,6 +183,15 @@ def test_pooling(spark):
     assert r.embedding == [0.5, 1.0, 0.0, 2.0]
     with pytest.raises(ValueError):
         prep.pooled(frame(spark), "user_id", vectors, "max")
+    states = spark.createDataFrame([("u", 0, [9.0]), ("u", 1, [1.0]), ("u", 2, [3.0]), ("w", 0, [7.0])], "user_id string, pos int, vector array<double>")
+    got = {r.user_id: r.embedding for r in prep.pool_states(states, ["user_id"], "cls+mean+last").collect()}
+    assert got == {"u": [9.0, 2.0, 3.0], "w": [7.0, 7.0, 7.0]}
+
+
+def test_preprocess_modes():
+    for mode, n in (("RAW", 0), ("zscore", 1), ("l2_then_standardize", 2), ("L2_then_PCA_then_standardize", 3)):
+        assert len(probes.preprocess(mode, "a", "b")) == n
+    assert probes.preprocess("l2_pca_standardize", "a", "b")[1].getK() == 64
 
 
 def test_probe_guards(spark):
