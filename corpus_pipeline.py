@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written and read again.  All but the last return the columns of ``documents``.
+
+An empty table passes through all stages.  Null, empty and blank texts are clean, no copies of anything,
+hold no repeats, and are not mixed, as they have no words.  Rows alike in id and text stay together up
+to the mix, which takes each by its own plan.  Ties fall to the smaller id, then to a hash of the text.
+Texts of any length are worked on whole; columns with names of the stages' own are carried.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ interpolated with the word estimate (add one) by how often its history was seen.
 The base score needs exact word counts, which the buckets send along.  A text is its words, ASCII
 lower-cased, and one end token; null and empty texts are the end token alone.  Without training rows
 all counts are 0.  Repeated rows count as often as they occur.  Words are told apart by 64-bit hashes.
+An empty table gives no rows; a very long text is one row of its block; columns other than id and text
+are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ of the language among the labelled rows.  Words are whole runs of letters of any
 lower-cased; memory follows ``CHUNK`` or the longest text.
 
 Null text, or text without a letter, is ``und`` with score 0.  Without any labelled row every text is
-``und``.  Repeated rows give repeated results; columns other than text and lang are ignored.
+``und``.  An empty table gives no rows.  Repeated rows give repeated results, ties go to the first language by
+name; columns other than id, text and lang are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ one 8-bit sample at ``RATE`` samples a second.
 
 Null text is an empty text; an empty payload is 64 zero bytes.  A damaged page, a gap in the page
 sequence or a stream without an end raises ``ValueError``.  Every row stands alone, so repeated
-rows give repeated results and memory is bounded by the longest text of a batch.
+rows give repeated results and memory is bounded by the longest text of a batch.  An empty table gives
+no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ bytes that equal the byte some lags earlier (so that runs of one word show).  Le
 chunk, rectified, are max-pooled over the text and combined into one probability.
 
 A null or empty text is one chunk of padding, a score like any other.  Without labelled rows of both
-classes every score is 0.5.  Repeated rows are scored alike; other columns are ignored.  Memory
+classes every score is 0.5.  Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.  Memory
 follows ``CHUNK`` or the longest text.
 """
 

@@ -8,6 +8,7 @@ at most a / b, and pairs beyond that bound are dropped unseen.
 One word in ``SPARE`` is an anchor by its hash.  A text without any anchor gets chains of two from every word; one without letters or digits is one
 signature of its own characters; null is the empty text.  Equal texts have equal fingerprints and
 likeness 1.  Repeated ids are ordered by text; null ids come first.  An empty table gives no rows.
+Very long texts are one row of arrays like others; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -1,35 +1,12 @@
-"""Tables written between jobs, so that a lost executor never repeats a long lineage."""
+"""Tables written between jobs, so that a lost executor never repeats a long lineage; and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
-BATCH_BYTES = 8 << 20
-
+from ..sources.scratch import staged  # noqa: F401  (used by the operators)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
-    where = spark.conf.get(KEY, None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {KEY} to a folder that all executors reach")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(KEY, where)
-    return where.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    to.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(to.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+BATCH_BYTES = 8 << 20
 
 
 def drop_staged(*frames: DataFrame) -> None:
