@@ -4,11 +4,13 @@ Counts of all words and word pairs of the training texts are gathered exactly, b
 into the filter as q = 1 + floor(log2 c) entries (n-gram, 1..q); a reader probes 1, 2, ... until one
 is absent and so finds q again.  The filter is dealt by the first bits of the hash and sized by its
 entries, so it grows with the input and is never held in one place: texts are dealt into blocks, each
-block sends its distinct n-grams with their counts to the buckets, each bucket adds the counts up,
-builds its part of the filter, probes it and sends q back.  A token's probability is the pair estimate,
+block sends its distinct n-grams with their counts to their buckets, each bucket adds the counts up,
+builds its part of the filter, probes it and sends q back.  A block and a bucket without a common n-gram
+exchange nothing, so there are never more rows between them than n-grams.  A token's probability is the pair estimate,
 interpolated with the word estimate (add one) by how often its history was seen.
 
-The base score needs exact word counts, which the buckets send along.  A text is its words, ASCII
+The base score needs exact word counts, which the buckets send along, and their number and sum, which
+one grouped count gives before.  A text is its words, ASCII
 lower-cased, and one end token; null and empty texts are the end token alone.  Without training rows
 all counts are 0.  Repeated rows count as often as they occur.  Words are told apart by 64-bit hashes.
 An empty table gives no rows; a very long text is one row of its block; columns other than id and text
@@ -17,6 +19,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +32,8 @@ from .textbytes import as_bytes, chunks, joined, mixed, prefix_hash, span_hash,
 
 FOLDS, FOLD = 7, 2
 END, BEGIN = np.uint64(0x5EED5EED5EED0001), np.uint64(0x5EED5EED5EED0002)
-#: Text bytes for one bucket of counts, a power of two of them; and for one block of texts.
-BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
+#: Text bytes for one bucket of counts, a power of two of them; for one block of texts; and for those of one task.
+BUCKET_BYTES, BLOCK_BYTES, TASK_BYTES = 8 << 20, 8 << 20, 24 << 20
 #: N-grams of a bucket that are probed at once.
 HEAD = 1 << 20
 BITS_EACH, PROBES = 12, 4
@@ -118,7 +122,7 @@ def _block_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 _SENT = "block int, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_ANSWER = "block int, bucket int, words binary, exact binary, pairs binary, n_words long, n_tokens long"
+_ANSWER = "block int, bucket int, words binary, exact binary, pairs binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -140,14 +144,15 @@ def _sender(buckets: int):
             n = np.bincount(inv[train], minlength=len(keys)).astype(np.int32)
             at = np.searchsorted((keys >> shift).astype(np.int64), np.arange(buckets + 1))
             columns += [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x in (keys, n)]
-        return _table([np.full(buckets, block.column("block")[0].as_py()), np.arange(buckets), *columns], _SENT)
+        some = [b for b in range(buckets) if columns[0][b] or columns[2][b]]
+        return _table([np.full(len(some), block.column("block")[0].as_py()), some, *[[c[b] for b in some] for c in columns]], _SENT)
 
     return send
 
 
 def _answer(rows: pa.Table) -> pa.Table:
-    """q of each n-gram that a block sent to this bucket, exact counts of words, and the bucket's sums."""
-    columns, sums = [], [0, 0]
+    """q of each n-gram that a block sent to this bucket, and exact counts of words."""
+    columns = []
     for name, numbers in (("words", "word_counts"), ("pairs", "pair_counts")):
         blobs = rows.column(name).to_pylist()
         keys, inv = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
@@ -157,43 +162,61 @@ def _answer(rows: pa.Table) -> pa.Table:
         at = np.append(0, np.cumsum([len(b) // 8 for b in blobs]))
         for x in (q, n) if name == "words" else (q,):
             columns.append([x[inv[i:j]].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
-        if name == "words":
-            sums = [int((n > 0).sum()), int(n.sum())]
-    return _table([rows.column("block").to_numpy(), rows.column("bucket").to_numpy(), *columns, *[np.full(len(rows), x) for x in sums]], _ANSWER)
-
-
-def _score_block(block: pa.Table, answers: pa.Table) -> pa.Table:
-    """Scores of a block's texts; every bucket has answered, so the sums are those of all training texts."""
-    answers = answers.sort_by("bucket")
-    texts = as_bytes(block.column("text"))
-    token, doc, pair, before = _block_tokens(texts)
-    got = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
-    words, total = (int(answers.column(c).to_numpy().sum()) for c in ("n_words", "n_tokens"))
-    each, inv = np.unique(token, return_inverse=True)
-    seen, exact = count_of(got("words", np.uint8).astype(np.int64)), got("exact", np.int64)
-    history = np.empty(len(token))
-    history[1:] = seen[inv[:-1]]
-    history[before == BEGIN] = exact[np.searchsorted(each, END)]  # as many ends as training texts
-    both = count_of(got("pairs", np.uint8).astype(np.int64))[np.unique(pair, return_inverse=True)[1]]
-    both = np.minimum(both, history)
-    trust = MOST_TRUST * history / (history + TRUST)
-    p = trust * both / np.maximum(history, 1) + (1 - trust) * (seen[inv] + 1) / (total + words + 1)
-    n = len(texts)
-    n_tokens, n_known = np.bincount(doc, minlength=n), np.bincount(doc, (exact > 0)[inv], n).astype(np.int64)
-    base = np.bincount(doc, np.log10(exact + 1.0)[inv], n) - n_tokens * np.log10(total + words + 1)
-    return _table([block.column("doc_id").combine_chunks(), ~block.column("train").to_numpy(), n_tokens, n_known, np.full(n, total), base, np.bincount(doc, np.log10(p), n)], _OUT)
+    return _table([rows.column("block").to_numpy(), rows.column("bucket").to_numpy(), *columns], _ANSWER)
+
+
+def _scorer(words: int, total: int):
+    """Scores of a block's texts, given the number of distinct words and of all tokens of the training texts."""
+
+    def score_block(block: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket")
+        texts = as_bytes(block.column("text"))
+        token, doc, pair, before = _block_tokens(texts)
+        got = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+        each, inv = np.unique(token, return_inverse=True)
+        seen, exact = count_of(got("words", np.uint8).astype(np.int64)), got("exact", np.int64)
+        history = np.empty(len(token))
+        history[1:] = seen[inv[:-1]]
+        history[before == BEGIN] = exact[np.searchsorted(each, END)]  # as many ends as training texts
+        both = count_of(got("pairs", np.uint8).astype(np.int64))[np.unique(pair, return_inverse=True)[1]]
+        both = np.minimum(both, history)
+        trust = MOST_TRUST * history / (history + TRUST)
+        p = trust * both / np.maximum(history, 1) + (1 - trust) * (seen[inv] + 1) / (total + words + 1)
+        n = len(texts)
+        n_tokens, n_known = np.bincount(doc, minlength=n), np.bincount(doc, (exact > 0)[inv], n).astype(np.int64)
+        base = np.bincount(doc, np.log10(exact + 1.0)[inv], n) - n_tokens * np.log10(total + words + 1)
+        return _table([block.column("doc_id").combine_chunks(), ~block.column("train").to_numpy(), n_tokens, n_known, np.full(n, total), base, np.bincount(doc, np.log10(p), n)], _OUT)
+
+    return score_block
+
+
+def training_totals(rows: DataFrame) -> tuple[int, int]:
+    """Distinct tokens and all tokens of the training texts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for i, j in chunks(texts):
+                keys, n = np.unique(tokens(texts[i:j])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    each = rows.filter("train").select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = each.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    return found.words, found.total
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(FOLDS, FOLD)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(size // BUCKET_BYTES).bit_length())
-    blocks = max(16, -(-int(size) // BLOCK_BYTES))
-    small_batches(docs.sparkSession)
+    blocks, tasks = max(16, -(-int(size) // BLOCK_BYTES)), max(16, -(-int(size) // TASK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    rows = docs.select(block, F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(FOLDS, FOLD)).alias("train"))
-    answers = rows.groupBy("block").applyInArrow(_sender(buckets), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, _OUT)
+    dealt = rows.select(block, "doc_id", "text", "train").repartition(tasks, "block")
+    sent = dealt.groupBy("block").applyInArrow(_sender(buckets), _SENT).repartition(tasks, "bucket")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, _ANSWER).repartition(tasks, "block")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(*training_totals(rows)), _OUT)
 
 
 def op7_log_bloom_lm(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .inducedsort import common_prefixes, suffix_array
 from .staging import small_batches, staged
-from .textbytes import as_bytes, chunks, prefix_hash, span_hash
+from .textbytes import as_bytes, chunks, mixed, prefix_hash, span_hash
 
 LENGTH, K = 50, 24
 #: Entries of one hash in its bucket from which it is split by string; more for a larger input, so that
@@ -271,7 +271,10 @@ def _first_owners(segments: list[bytes], value: np.ndarray, first: np.ndarray) -
 
 
 def _spans(shards: DataFrame, tasks: int) -> DataFrame:
-    """(key, mark, spans): for each document the packed (start, end) bytes to remove that one shard has found."""
+    """(key, mark, spans): for each document that has any the packed (start, end) bytes to remove.
+
+    A shard sends what it has found to the bucket of each document, one row a bucket; buckets gather it by document.
+    """
 
     def shard(table: pa.Table) -> pa.Table:
         held = table.to_pylist()
@@ -305,18 +308,35 @@ def _spans(shards: DataFrame, tasks: int) -> DataFrame:
                 lows.append(place[head])
                 highs.append(place[np.append(head[1:], len(row)) - 1] + LENGTH if len(row) else place)
             row, start, end = (np.concatenate(x) for x in (rows, lows, highs))
-        order = np.lexsort((start, mark[row], key[row]))
-        row, pair = row[order], np.stack([start[order], end[order]], 1).astype(np.int32)
-        k, m = key[row], mark[row]
-        heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])[: len(k)])
-        blobs = [pair[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(k)), strict=True)] if len(k) else []
+        goal = (mixed((key ^ mark).view(np.uint64)) % np.uint64(tasks)).astype(np.int64)[row]
+        order, place = _by(goal, tasks)
+        out = []
+        for g in np.flatnonzero(np.diff(place)).tolist():
+            own = order[place[g] : place[g + 1]]
+            pair = np.stack([start[own], end[own]], 1).astype(np.int32)
+            seen, local = np.unique(row[own], return_inverse=True)
+            out.append((g, key[seen].tobytes(), mark[seen].tobytes(), local.astype(np.int32).tobytes(), pair.tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table([pa.array(cols[0], pa.int32()), *map(_packed, cols[1:])], names=["goal", "key", "mark", "place", "spans"])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        parts = []
+        for r in table.select(["key", "mark", "place", "spans"]).to_pylist():
+            at = np.frombuffer(r["place"], np.int32)
+            parts.append((np.frombuffer(r["key"], np.int64)[at], np.frombuffer(r["mark"], np.int64)[at], np.frombuffer(r["spans"], np.int32).reshape(-1, 2)))
+        k, m, pair = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pair[:, 0], m, k))
+        k, m, pair = k[order], m[order], pair[order]
+        heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
+        blobs = [pair[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(k)), strict=True)]
         return pa.table([pa.array(k[heads]), pa.array(m[heads]), _packed(blobs)], names=["key", "mark", "spans"])
 
-    return shards.repartition(tasks, "shard").groupBy("shard").applyInArrow(shard, "key long, mark long, spans binary")
+    found = shards.repartition(tasks, "shard").groupBy("shard").applyInArrow(shard, "goal int, key binary, mark binary, place binary, spans binary")
+    return found.repartition(tasks, "goal").groupBy("goal").applyInArrow(gathered, "key long, mark long, spans binary")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, mark, spans): packed spans of each document that has any, as a list of packed arrays."""
+    """(key, mark, spans): packed spans of each document that has any."""
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(12, total // BUCKET_BYTES), max(12, total // SHARD_BYTES)
@@ -325,15 +345,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     warm = [np.frombuffer(r.hash, np.uint64) for r in told.filter("key IS NULL").select("hash").collect()]
     flags = told.filter("key IS NOT NULL").groupBy("key", "mark").agg(F.collect_list("hash").alias("hashes")).hint("shuffle_hash")
     with_flags = docs.select("key", "mark", "text").join(flags, ["key", "mark"]).select("key", "mark", "text", "hashes")
-    spans = _spans(_sharded(with_flags, np.concatenate([*warm, np.zeros(0, np.uint64)]), shards), tasks)
-    return spans.groupBy("key", "mark").agg(F.collect_list("spans").alias("spans"))
+    return _spans(_sharded(with_flags, np.concatenate([*warm, np.zeros(0, np.uint64)]), shards), tasks)
 
 
-def merged_spans(blobs: list[bytes] | None) -> list[tuple[int, int]]:
+def merged_spans(packed: bytes | None) -> list[tuple[int, int]]:
     """Maximal runs of the bytes to remove."""
-    if not blobs:
+    if not packed:
         return []
-    pair = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
+    pair = np.frombuffer(packed, np.int32).reshape(-1, 2)
     pair = pair[np.argsort(pair[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pair[:, 1])
     heads = np.flatnonzero(np.concatenate([[True], pair[1:, 0] > reach[:-1]]))
