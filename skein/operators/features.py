@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +59,6 @@ def hashed_terms(df: DataFrame, k: int = 5) -> DataFrame:
     return df.withColumn("terms", F.concat(uni, pairs, last))
 
 
-def hashed_features(df: DataFrame, width: int = 262_144) -> DataFrame:
-    return HashingTF(inputCol="terms", outputCol="features", numFeatures=width).transform(df)
-
-
 def dense_features(frame: DataFrame, stats: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """Keys, all labels, sequence features, last tokens and transition features."""
     df = markov_features(last_k(frame, k), stats).join(sequence_features(frame, keys), keys)

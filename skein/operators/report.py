@@ -39,8 +39,8 @@ def lift(metrics: DataFrame, metric: str, baseline: str) -> DataFrame:
 
 
 def labelled(df: DataFrame, column: str, names: DataFrame, out: str) -> DataFrame:
-    """A display name from a small (name, label) table, else the name itself."""
-    joined = df.join(F.broadcast(names.select(F.col("name").alias(column), F.col("label").alias("__label"))), column, "left")
+    """A display name from a (name, label) table, else the name itself."""
+    joined = df.join(names.select(F.col("name").alias(column), F.col("label").alias("__label")), column, "left")
     return joined.withColumn(out, F.coalesce("__label", column)).drop("__label")
 
 
