@@ -19,7 +19,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) edges to (node, component): the smallest node reachable.  Nodes without edges have no row.
 
     Every step is a grouped minimum and a join on the node; each round is written, and rounds end
-    when the edges stay as they are, which are then stars around the smallest nodes.
+    when the edges stay as they are, which are then stars around the smallest nodes.  Rounds grow with
+    the logarithm of the longest path; edges that ``most_rounds`` do not settle raise an error.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None

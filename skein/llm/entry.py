@@ -18,4 +18,6 @@ QUERIES = {
 }
 SQL = {
     "op4_curriculum_mix": curriculum.OP4_SQL,
+    "op8_adaptive_prefix_join": ngramjoin.OP8_SQL,
+    "op9_induced_suffix_dedup": suffixdedup.OP9_SQL,
 }

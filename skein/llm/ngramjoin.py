@@ -416,3 +416,18 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def op8_adaptive_prefix_join(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * met >= 90 * (x.n + y.n - met)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS r, a AS o FROM e UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.o = e.a),
+m AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.o GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, doc_id) AS component_id FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN m ON m.r = w.r
+"""

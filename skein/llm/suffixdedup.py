@@ -409,3 +409,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op9_induced_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM t WHERE len(h) >= 100)),
+f AS (SELECT r, i, min(doc_id) OVER (PARTITION BY x) AS first, doc_id FROM p),
+g AS (SELECT r, i FROM f WHERE first < doc_id),
+o AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM o),
+sp AS (SELECT r, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY 1, 2),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before, row_number() OVER (PARTITION BY r ORDER BY a DESC) AS last FROM sp),
+kept AS (SELECT q.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN last = 1 THEN substr(h, 2 * b + 1) ELSE '' END) AS h,
+    sum(b - a) AS n_removed, count(*) AS n_spans FROM q JOIN t ON t.r = q.r GROUP BY q.r)
+SELECT doc_id, len(t.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256 FROM t LEFT JOIN kept ON kept.r = t.r
+"""

@@ -5,10 +5,11 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import langid, ngramjoin, quality, spotsigs, suffixdedup, toxicity
+from skein.llm import entry, langid, ngramjoin, quality, spotsigs, suffixdedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, mark string, component string"
 WORDS = [f"{a}{b}{c}" for a in ("ba", "ko", "ti", "su") for b in ("ra", "ne", "lo") for c in ("m", "sh", "")]
@@ -187,6 +188,16 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {1, 2, 3, 53, None} <= ids and not {60, 61} & ids and all(r.n_tokens == len(r.token_ids) for r in got)
 
 
+@pytest.mark.parametrize("name", sorted(entry.SQL))
+def test_query_matches_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = duck.sql(entry.SQL[name])
+    got = entry.QUERIES[name](spark, data).select(*want.columns).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want.fetchall())
+
+
 def test_pipeline_gives_rows_on_given_tables(spark):
     import corpus_pipeline
 
