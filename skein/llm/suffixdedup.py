@@ -19,7 +19,7 @@ The bytes that stay may break a character; ``without_repeats`` then drops its st
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from .inducedsort import common_prefixes, suffix_array
 from .staging import small_batches, staged
-from .textbytes import as_bytes, chunks, mixed, prefix_hash, span_hash
+from .textbytes import as_bytes, chunks, prefix_hash, span_hash
 
 LENGTH, K = 50, 24
 #: Entries of one hash in its bucket from which it is split by string; more for a larger input, so that
 #: the broadcast hot hashes stay below about a million.
 HOT = 1024
-#: Text bytes for one bucket of hashes, for one shard, and for the buckets or shards of one task.
-BUCKET_BYTES, SHARD_BYTES, TASK_BYTES = 8 << 20, 8 << 20, 24 << 20
+#: Text bytes for one group of documents, bucket of hashes or shard, and for those of one task.
+GROUP_BYTES, TASK_BYTES = 8 << 20, 24 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -86,9 +86,23 @@ def _by(part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(n + 1))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key: the id, nulls as the largest; mark: a hash that tells rows of one id apart."""
-    return docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+class Deal:
+    """How many groups of documents, buckets and shards there are, and tasks for each."""
+
+    def __init__(self, docs: DataFrame):
+        self.bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.groups, self.tasks = max(12, self.bytes // GROUP_BYTES), max(12, self.bytes // TASK_BYTES)
+
+    def group_of(self, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return (key ^ mark) % self.groups
+
+    def keyed(self, docs: DataFrame) -> DataFrame:
+        """All columns in one, and key: the id, nulls as the largest; mark: a hash that tells rows of one id apart; group."""
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+        return rows.withColumn("group", F.pmod(F.col("key").bitwiseXOR(F.col("mark")), F.lit(self.groups)).cast("int"))
+
+    def by(self, df: DataFrame, column: str):
+        return df.repartition(self.tasks, column).groupBy(column)
 
 
 def _hash_rows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -134,72 +148,101 @@ def _hash_rows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("key", "mark", "text").mapInArrow(work, "bucket int, key binary, mark binary, place binary, hash binary")
 
 
-def _repeated(rows: DataFrame, hot: int, tasks: int) -> DataFrame:
-    """(key, mark, hash): each document's packed hashes that other documents hold too; key null: hot hashes."""
+_TOLD = "group int, key binary, mark binary, place binary, hash binary"
+
+
+def _to_groups(group: np.ndarray, key: np.ndarray, mark: np.ndarray, place: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """Packed rows, one a group: its documents, and for each value the place of its document among them."""
+    order, at = _by(group[place], int(group.max(initial=-1)) + 1)
+    rows = []
+    for g in np.flatnonzero(np.diff(at)).tolist():
+        own = order[at[g] : at[g + 1]]
+        seen, local = np.unique(place[own], return_inverse=True)
+        rows.append((g, key[seen].tobytes(), mark[seen].tobytes(), local.astype(np.int32).tobytes(), value[own].tobytes()))
+    return rows
+
 
-    def told(key: np.ndarray, mark: np.ndarray, place: np.ndarray, value: np.ndarray) -> pa.Table:
-        order, at = _by(place, len(key))
-        value, some = value[order], np.flatnonzero(np.diff(at))
-        blobs = [value[at[k] : at[k + 1]].tobytes() for k in some]
-        return pa.table([pa.array(key[some]), pa.array(mark[some]), _packed(blobs)], names=["key", "mark", "hash"])
+def _packed_rows(rows: list[tuple], names: list[str]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.table([pa.array(cols[0], pa.int32()), *map(_packed, cols[1:])], names=names)
+
+
+def _by_document(table: pa.Table, column: str, kind: type, width: int = 1) -> dict[tuple[int, int], np.ndarray]:
+    """The values of packed rows by key and mark."""
+    parts = []
+    for r in table.select(["key", "mark", "place", column]).to_pylist():
+        at = np.frombuffer(r["place"], np.int32)
+        parts.append((np.frombuffer(r["key"], np.int64)[at], np.frombuffer(r["mark"], np.int64)[at], np.frombuffer(r[column], kind).reshape(-1, width)))
+    if not parts:
+        return {}
+    k, m, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((m, k))
+    k, m, value = k[order], m[order], value[order]
+    heads = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])))
+    return {(int(k[a]), int(m[a])): value[a:b] for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(k)], strict=True)}
+
+
+def _repeated(rows: DataFrame, hot: int, deal: Deal) -> DataFrame:
+    """Packed rows of each document's hashes that other documents hold too, by group; group null: hot hashes."""
+    names = [f.split()[0] for f in _TOLD.split(", ")]
 
     def bucket(table: pa.Table) -> pa.Table:
         held = table.to_pylist()
+        key, mark = (np.concatenate([np.frombuffer(r[c], np.int64) for r in held]) for c in ("key", "mark"))
+        first = np.cumsum([0, *[len(r["key"]) // 8 for r in held]])
         place = [np.frombuffer(r["place"], np.int32).astype(np.int64) for r in held]
+        where = np.concatenate([np.where(p >= 0, p + f, p) for p, f in zip(place, first, strict=False)])
         value = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in held])
-        where, out = np.concatenate(place), []
-        repeated = np.ones(len(value), bool)
+        repeated, out = np.ones(len(value), bool), []
         if held[0]["bucket"] >= 0:
             keys, inv = np.unique(value, return_inverse=True)
             repeated = (np.bincount(inv, np.where(where < 0, -where, 1)) > 1)[inv] & (where >= 0)
             warm = keys[np.bincount(inv) > hot]
-            out.append(pa.table([pa.array([None], pa.int64()), pa.array([None], pa.int64()), _packed([warm.tobytes()])], names=["key", "mark", "hash"]))
-        at = np.cumsum([0, *map(len, place)])
-        for k, r in enumerate(held):
-            own = np.arange(at[k], at[k + 1])[repeated[at[k] : at[k + 1]]]
-            out.append(told(np.frombuffer(r["key"], np.int64), np.frombuffer(r["mark"], np.int64), where[own], value[own]))
-        return pa.concat_tables(out)
+            out.append((None, b"", b"", b"", warm.tobytes()))
+        out += _to_groups(deal.group_of(key, mark), key, mark, where[repeated], value[repeated])
+        return _packed_rows(out, names)
 
-    return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(bucket, "key long, mark long, hash binary")
+    return deal.by(rows, "bucket").applyInArrow(bucket, _TOLD)
 
 
-def _sharded(told: DataFrame, warm: np.ndarray, shards: int) -> DataFrame:
-    """Documents with their repeated hashes (key, mark, text, hashes) to rows of segments by shard.
+def _sharded(dealt: DataFrame, told: DataFrame, warm: np.ndarray, deal: Deal) -> DataFrame:
+    """Groups of documents and their repeated hashes to rows of segments by shard.
 
-    Hot hashes give their strings one by one, dealt by the string.  Of equal segments in a batch only
+    Hot hashes give their strings one by one, dealt by the string.  Of equal segments in a group only
     that of the smallest id goes on; the others are repeats of it (rows of a shard below 0).
     """
     names = ["shard", "key", "mark", "at", "count", "hash", "bytes"]
-    shared = told.sparkSession.sparkContext.broadcast(np.sort(warm))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        warm = shared.value
-        for batch in batches:
-            texts, keys, marks = as_bytes(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            hashes = batch.column(3).to_pylist()
-            parts, rows = [], []
-            for i, j in chunks(texts):
-                s = Segments(texts[i:j])
-                own = [np.frombuffer(b"".join(h), np.uint64) for h in hashes[i:j]]
-                pairs = np.concatenate([h + np.array(k, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k, h in enumerate(own)])
-                keep = np.flatnonzero(np.isin(s.value + s.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), pairs))
-                value, doc, at, count = s.value[keep], s.doc[keep], s.at[keep], s.count[keep]
-                h = prefix_hash(s.data)
-                hot = np.isin(value, warm)
-                if hot.any():
-                    n = np.where(hot, count, 1)
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    hot, doc, value = (np.repeat(x, n) for x in (hot, doc, value))
-                    at, count = np.repeat(at, n) + step, np.where(hot, 1, np.repeat(count, n))
-                    begin = s.base[doc] + at
-                    value = np.where(hot, span_hash(h, begin, begin + LENGTH), value)
+    shards = deal.groups
+    shared = dealt.sparkSession.sparkContext.broadcast(np.sort(warm))
+
+    def work(table: pa.Table, told: pa.Table) -> pa.Table:
+        warm, hashes, none = shared.value, _by_document(told, "hash", np.uint64), np.zeros((0, 1), np.uint64)
+        keys, marks = table.column("key").to_numpy(), table.column("mark").to_numpy()
+        own = [hashes.get(x, none)[:, 0] for x in zip(keys.tolist(), marks.tolist(), strict=True)]
+        some = np.flatnonzero([len(x) for x in own])
+        keys, marks, own = keys[some], marks[some], [own[x] for x in some.tolist()]
+        texts = as_bytes(table.column("row").combine_chunks().field("text").take(pa.array(some)))
+        parts, rows, out = [], [], []
+        for i, j in chunks(texts):
+            s = Segments(texts[i:j])
+            pairs = np.concatenate([h + np.array(k, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k, h in enumerate(own[i:j])])
+            keep = np.flatnonzero(np.isin(s.value + s.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), pairs))
+            value, doc, at, count = s.value[keep], s.doc[keep], s.at[keep], s.count[keep]
+            h = prefix_hash(s.data)
+            hot = np.isin(value, warm)
+            if hot.any():
+                n = np.where(hot, count, 1)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hot, doc, value = (np.repeat(x, n) for x in (hot, doc, value))
+                at, count = np.repeat(at, n) + step, np.where(hot, 1, np.repeat(count, n))
                 begin = s.base[doc] + at
-                end = begin + count + LENGTH - 1
-                raw = s.data.tobytes()
-                parts.append((value, doc + i, at, count, span_hash(h, begin, end)))
-                rows += [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-            if not rows:
-                continue
+                value = np.where(hot, span_hash(h, begin, begin + LENGTH), value)
+            begin = s.base[doc] + at
+            end = begin + count + LENGTH - 1
+            raw = s.data.tobytes()
+            parts.append((value, doc + i, at, count, span_hash(h, begin, end)))
+            rows += [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        if rows:
             value, doc, at, count, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((at, keys[doc], seg))
             head = np.ones(len(order), bool)
@@ -216,17 +259,16 @@ def _sharded(told: DataFrame, warm: np.ndarray, shards: int) -> DataFrame:
             shard[len(sent) :] = shards
             pick = np.concatenate([sent, done])
             group, place = _by(shard, shards + 1)
-            out = []
             for b in range(shards + 1):
                 k = pick[group[place[b] : place[b + 1]]]
                 if len(k):
                     number = b if b < shards else -1 - int(marks[doc[k[0]]]) % shards
                     data = b"".join([rows[x] for x in k.tolist()]) if b < shards else b""
                     out.append((number, keys[doc[k]].tobytes(), marks[doc[k]].tobytes(), at[k].astype(np.int32).tobytes(), count[k].astype(np.int32).tobytes(), value[k].tobytes(), data))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(_packed, cols[1:])], names=names)
+        return _packed_rows(out, names)
 
-    return told.mapInArrow(work, "shard int, key binary, mark binary, at binary, count binary, hash binary, bytes binary")
+    pairs = deal.by(dealt, "group").cogroup(deal.by(told, "group"))
+    return pairs.applyInArrow(work, "shard int, key binary, mark binary, at binary, count binary, hash binary, bytes binary")
 
 
 def _owners(segments: list[bytes], first: np.ndarray) -> list[np.ndarray]:
@@ -270,11 +312,8 @@ def _first_owners(segments: list[bytes], value: np.ndarray, first: np.ndarray) -
     return out
 
 
-def _spans(shards: DataFrame, tasks: int) -> DataFrame:
-    """(key, mark, spans): for each document that has any the packed (start, end) bytes to remove.
-
-    A shard sends what it has found to the bucket of each document, one row a bucket; buckets gather it by document.
-    """
+def _spans(shards: DataFrame, deal: Deal) -> DataFrame:
+    """Packed rows of the (start, end) bytes to remove that each shard has found, by group of documents."""
 
     def shard(table: pa.Table) -> pa.Table:
         held = table.to_pylist()
@@ -308,51 +347,34 @@ def _spans(shards: DataFrame, tasks: int) -> DataFrame:
                 lows.append(place[head])
                 highs.append(place[np.append(head[1:], len(row)) - 1] + LENGTH if len(row) else place)
             row, start, end = (np.concatenate(x) for x in (rows, lows, highs))
-        goal = (mixed((key ^ mark).view(np.uint64)) % np.uint64(tasks)).astype(np.int64)[row]
-        order, place = _by(goal, tasks)
-        out = []
-        for g in np.flatnonzero(np.diff(place)).tolist():
-            own = order[place[g] : place[g + 1]]
-            pair = np.stack([start[own], end[own]], 1).astype(np.int32)
-            seen, local = np.unique(row[own], return_inverse=True)
-            out.append((g, key[seen].tobytes(), mark[seen].tobytes(), local.astype(np.int32).tobytes(), pair.tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.table([pa.array(cols[0], pa.int32()), *map(_packed, cols[1:])], names=["goal", "key", "mark", "place", "spans"])
-
-    def gathered(table: pa.Table) -> pa.Table:
-        parts = []
-        for r in table.select(["key", "mark", "place", "spans"]).to_pylist():
-            at = np.frombuffer(r["place"], np.int32)
-            parts.append((np.frombuffer(r["key"], np.int64)[at], np.frombuffer(r["mark"], np.int64)[at], np.frombuffer(r["spans"], np.int32).reshape(-1, 2)))
-        k, m, pair = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((pair[:, 0], m, k))
-        k, m, pair = k[order], m[order], pair[order]
-        heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
-        blobs = [pair[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(k)), strict=True)]
-        return pa.table([pa.array(k[heads]), pa.array(m[heads]), _packed(blobs)], names=["key", "mark", "spans"])
-
-    found = shards.repartition(tasks, "shard").groupBy("shard").applyInArrow(shard, "goal int, key binary, mark binary, place binary, spans binary")
-    return found.repartition(tasks, "goal").groupBy("goal").applyInArrow(gathered, "key long, mark long, spans binary")
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, mark, spans): packed spans of each document that has any."""
+        pair = np.stack([start, end], 1).astype(np.int32)
+        return _packed_rows(_to_groups(deal.group_of(key, mark), key, mark, row, pair), ["group", "key", "mark", "place", "spans"])
+
+    return deal.by(shards, "shard").applyInArrow(shard, "group int, key binary, mark binary, place binary, spans binary")
+
+
+def with_spans(docs: DataFrame, work: Callable[[pa.Table, list[list[tuple[int, int]]]], pa.Table], schema: str | T.StructType) -> DataFrame:
+    """``work`` on groups of documents (their columns in ``row``) and the maximal runs of bytes to remove from each."""
     small_batches(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, shards = max(12, total // BUCKET_BYTES), max(12, total // SHARD_BYTES)
-    tasks = max(12, total // TASK_BYTES)
-    told = staged(_repeated(_hash_rows(docs, buckets), max(HOT, total // (LENGTH << 20)), tasks), "repeated")
-    warm = [np.frombuffer(r.hash, np.uint64) for r in told.filter("key IS NULL").select("hash").collect()]
-    flags = told.filter("key IS NOT NULL").groupBy("key", "mark").agg(F.collect_list("hash").alias("hashes")).hint("shuffle_hash")
-    with_flags = docs.select("key", "mark", "text").join(flags, ["key", "mark"]).select("key", "mark", "text", "hashes")
-    return _spans(_sharded(with_flags, np.concatenate([*warm, np.zeros(0, np.uint64)]), shards), tasks)
+    deal = Deal(docs)
+    dealt = deal.keyed(docs)
+    rows = _hash_rows(dealt.select("key", "mark", F.col("row.text").alias("text")), deal.groups)
+    told = staged(_repeated(rows, max(HOT, deal.bytes // (LENGTH << 20)), deal), "repeated")
+    warm = [np.frombuffer(r.hash, np.uint64) for r in told.filter("group IS NULL").select("hash").collect()]
+    shards = _sharded(dealt, told.filter("group IS NOT NULL"), np.concatenate([*warm, np.zeros(0, np.uint64)]), deal)
 
+    def final(table: pa.Table, found: pa.Table) -> pa.Table:
+        spans = _by_document(found, "spans", np.int32, 2)
+        keys = zip(table.column("key").to_pylist(), table.column("mark").to_pylist(), strict=True)
+        return work(table, [merged_spans(spans.get(x)) for x in keys])
 
-def merged_spans(packed: bytes | None) -> list[tuple[int, int]]:
+    return deal.by(dealt, "group").cogroup(deal.by(_spans(shards, deal), "group")).applyInArrow(final, schema)
+
+
+def merged_spans(pair: np.ndarray | None) -> list[tuple[int, int]]:
     """Maximal runs of the bytes to remove."""
-    if not packed:
+    if pair is None or not len(pair):
         return []
-    pair = np.frombuffer(packed, np.int32).reshape(-1, 2)
     pair = pair[np.argsort(pair[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pair[:, 1])
     heads = np.flatnonzero(np.concatenate([[True], pair[1:, 0] > reach[:-1]]))
@@ -369,42 +391,31 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _keyed(docs.select("doc_id", "text")).select("key", "mark", "text")
-    joined = rows.join(repeated_spans(rows).hint("shuffle_hash"), ["key", "mark"], "left").select("key", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, blobs in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                spans = merged_spans(blobs)
-                kept = kept_bytes(text, spans)
-                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            key = pa.array(batch.column(0).to_pandas().where(lambda k: k != NO_ID).astype("Int64"), pa.int64())
-            yield pa.RecordBatch.from_arrays([key, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=names)
+    def work(table: pa.Table, spans: list[list[tuple[int, int]]]) -> pa.Table:
+        row, out = table.column("row").combine_chunks(), []
+        for text, own in zip(as_bytes(row.field("text")), spans, strict=True):
+            kept = kept_bytes(text, own)
+            out.append((len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table([row.field("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=names)
 
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_spans(thin, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut from the texts; a broken character at a cut goes too.  Null texts stay null."""
-    rows = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
-    joined = rows.join(repeated_spans(rows.select("key", "mark", "text")).hint("shuffle_hash"), ["key", "mark"], "left")
-    joined = joined.select("row.*", "spans")
-    at = docs.columns.index("text")
-    schema = T.StructType(docs.schema.fields)
+    at, schema = docs.columns.index("text"), T.StructType(docs.schema.fields)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                None if text is None else text if not blobs else kept_bytes(text.encode(), merged_spans(blobs)).decode("utf-8", "ignore")
-                for text, blobs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
-            ]
-            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return joined.mapInArrow(work, schema)
+    def work(table: pa.Table, spans: list[list[tuple[int, int]]]) -> pa.Table:
+        columns = table.column("row").combine_chunks().flatten()
+        texts = [t if t is None or not own else kept_bytes(t.encode(), own).decode("utf-8", "ignore") for t, own in zip(columns[at].to_pylist(), spans, strict=True)]
+        columns[at] = pa.array(texts, pa.string())
+        return pa.table(columns, names=schema.names)
+
+    return with_spans(docs, work, schema)
 
 
 def op9_induced_suffix_dedup(spark, sf_dir: str) -> DataFrame:
