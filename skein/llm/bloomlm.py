@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out
 from .staging import small_batches
-from .textbytes import as_bytes, chunks, joined, mixed, prefix_hash, span_hash, word_spans
+from .textbytes import as_bytes, chunks, from_planes, from_rising, joined, mixed, planes, prefix_hash, rising, span_hash, word_spans
 
 FOLDS, FOLD = 7, 2
 END, BEGIN = np.uint64(0x5EED5EED5EED0001), np.uint64(0x5EED5EED5EED0002)
@@ -143,7 +143,7 @@ def _sender(buckets: int):
             keys, inv = np.unique(ngram, return_inverse=True)
             n = np.bincount(inv[train], minlength=len(keys)).astype(np.int32)
             at = np.searchsorted((keys >> shift).astype(np.int64), np.arange(buckets + 1))
-            columns += [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x in (keys, n)]
+            columns += [[pack(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] for x, pack in ((keys, rising), (n, planes))]
         some = [b for b in range(buckets) if columns[0][b] or columns[2][b]]
         return _table([np.full(len(some), block.column("block")[0].as_py()), some, *[[c[b] for b in some] for c in columns]], _SENT)
 
@@ -155,13 +155,13 @@ def _answer(rows: pa.Table) -> pa.Table:
     columns = []
     for name, numbers in (("words", "word_counts"), ("pairs", "pair_counts")):
         blobs = rows.column(name).to_pylist()
-        keys, inv = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
-        n = np.bincount(inv, np.frombuffer(b"".join(rows.column(numbers).to_pylist()), np.int32), len(keys)).astype(np.int64)
+        keys, inv = np.unique(np.concatenate([from_rising(b) for b in blobs]), return_inverse=True)
+        n = np.bincount(inv, np.concatenate([from_planes(b, np.int32) for b in rows.column(numbers).to_pylist()]), len(keys)).astype(np.int64)
         held = build_filter(keys[n > 0], n[n > 0])
         q = np.concatenate([np.zeros(0, np.int64), *[held.find(keys[i : i + HEAD]) for i in range(0, len(keys), HEAD)]]).astype(np.uint8)
         at = np.append(0, np.cumsum([len(b) // 8 for b in blobs]))
         for x in (q, n) if name == "words" else (q,):
-            columns.append([x[inv[i:j]].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+            columns.append([planes(x[inv[i:j]]) for i, j in zip(at[:-1], at[1:], strict=True)])
     return _table([rows.column("block").to_numpy(), rows.column("bucket").to_numpy(), *columns], _ANSWER)
 
 
@@ -172,7 +172,7 @@ def _scorer(words: int, total: int):
         answers = answers.sort_by("bucket")
         texts = as_bytes(block.column("text"))
         token, doc, pair, before = _block_tokens(texts)
-        got = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+        got = lambda c, kind: np.concatenate([from_planes(b, kind) for b in answers.column(c).to_pylist()])
         each, inv = np.unique(token, return_inverse=True)
         seen, exact = count_of(got("words", np.uint8).astype(np.int64)), got("exact", np.int64)
         history = np.empty(len(token))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .inducedsort import common_prefixes, suffix_array
 from .staging import small_batches, staged
-from .textbytes import as_bytes, chunks, prefix_hash, span_hash
+from .textbytes import as_bytes, chunks, from_planes, from_rising, planes, prefix_hash, rising, span_hash
 
 LENGTH, K = 50, 24
 #: Entries of one hash in its bucket from which it is split by string; more for a larger input, so that
@@ -137,11 +137,11 @@ def _hash_rows(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(k):
                     seen = np.unique(own[k][own[k] >= 0])
                     local = np.where(own[k] >= 0, np.searchsorted(seen, own[k]), own[k]).astype(np.int32)
-                    rows.append((b, key[seen].tobytes(), mark[seen].tobytes(), local.tobytes(), v[first[k]].tobytes()))
+                    rows.append((b, key[seen].tobytes(), mark[seen].tobytes(), planes(local), rising(v[first[k]])))
             many = np.repeat(size > 1, size)
             if many.any():
                 seen, local = np.unique(d[many], return_inverse=True)
-                rows.append((-1 - int(mark[seen[0]]) % buckets, key[seen].tobytes(), mark[seen].tobytes(), local.astype(np.int32).tobytes(), v[many].tobytes()))
+                rows.append((-1 - int(mark[seen[0]]) % buckets, key[seen].tobytes(), mark[seen].tobytes(), planes(local.astype(np.int32)), rising(v[many])))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(_packed, cols[1:])], names=["bucket", "key", "mark", "place", "hash"])
 
@@ -158,7 +158,7 @@ def _to_groups(group: np.ndarray, key: np.ndarray, mark: np.ndarray, place: np.n
     for g in np.flatnonzero(np.diff(at)).tolist():
         own = order[at[g] : at[g + 1]]
         seen, local = np.unique(place[own], return_inverse=True)
-        rows.append((g, key[seen].tobytes(), mark[seen].tobytes(), local.astype(np.int32).tobytes(), value[own].tobytes()))
+        rows.append((g, key[seen].tobytes(), mark[seen].tobytes(), planes(local.astype(np.int32)), value[own].tobytes()))
     return rows
 
 
@@ -171,7 +171,7 @@ def _by_document(table: pa.Table, column: str, kind: type, width: int = 1) -> di
     """The values of packed rows by key and mark."""
     parts = []
     for r in table.select(["key", "mark", "place", column]).to_pylist():
-        at = np.frombuffer(r["place"], np.int32)
+        at = from_planes(r["place"], np.int32)
         parts.append((np.frombuffer(r["key"], np.int64)[at], np.frombuffer(r["mark"], np.int64)[at], np.frombuffer(r[column], kind).reshape(-1, width)))
     if not parts:
         return {}
@@ -190,9 +190,9 @@ def _repeated(rows: DataFrame, hot: int, deal: Deal) -> DataFrame:
         held = table.to_pylist()
         key, mark = (np.concatenate([np.frombuffer(r[c], np.int64) for r in held]) for c in ("key", "mark"))
         first = np.cumsum([0, *[len(r["key"]) // 8 for r in held]])
-        place = [np.frombuffer(r["place"], np.int32).astype(np.int64) for r in held]
+        place = [from_planes(r["place"], np.int32).astype(np.int64) for r in held]
         where = np.concatenate([np.where(p >= 0, p + f, p) for p, f in zip(place, first, strict=False)])
-        value = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in held])
+        value = np.concatenate([from_rising(r["hash"]) for r in held])
         repeated, out = np.ones(len(value), bool), []
         if held[0]["bucket"] >= 0:
             keys, inv = np.unique(value, return_inverse=True)

@@ -96,3 +96,22 @@ def word_spans(data: np.ndarray, at: np.ndarray, word: np.ndarray | None = None)
     """Starts and ends of words, and how many words each text has."""
     s, e = spans(~SPACES[data] if word is None else word[data])
     return s, e, np.diff(np.searchsorted(s, at))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on, which general compression makes small."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Planes of the steps between ascending 64-bit hashes."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def from_rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(blob, np.uint64), dtype=np.uint64)
