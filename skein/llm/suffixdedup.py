@@ -211,7 +211,7 @@ def _sharded(dealt: DataFrame, told: DataFrame, warm: np.ndarray, deal: Deal) ->
     Hot hashes give their strings one by one, dealt by the string.  Of equal segments in a group only
     that of the smallest id goes on; the others are repeats of it (rows of a shard below 0).
     """
-    names = ["shard", "key", "mark", "at", "count", "hash", "bytes"]
+    names = ["shard", "key", "mark", "place", "at", "count", "hash", "bytes"]
     shards = deal.groups
     shared = dealt.sparkSession.sparkContext.broadcast(np.sort(warm))
 
@@ -261,14 +261,19 @@ def _sharded(dealt: DataFrame, told: DataFrame, warm: np.ndarray, deal: Deal) ->
             group, place = _by(shard, shards + 1)
             for b in range(shards + 1):
                 k = pick[group[place[b] : place[b + 1]]]
-                if len(k):
-                    number = b if b < shards else -1 - int(marks[doc[k[0]]]) % shards
-                    data = b"".join([rows[x] for x in k.tolist()]) if b < shards else b""
-                    out.append((number, keys[doc[k]].tobytes(), marks[doc[k]].tobytes(), at[k].astype(np.int32).tobytes(), count[k].astype(np.int32).tobytes(), value[k].tobytes(), data))
+                if not len(k):
+                    continue
+                number, hashed, data = -1 - int(marks[doc[k[0]]]) % shards, b"", b""
+                if b < shards:
+                    k = k[np.argsort(value[k], kind="stable")]
+                    number, hashed, data = b, rising(value[k]), b"".join([rows[x] for x in k.tolist()])
+                seen, local = np.unique(doc[k], return_inverse=True)
+                numbers = [planes(x.astype(np.int32)) for x in (local, at[k], count[k])]
+                out.append((number, keys[seen].tobytes(), marks[seen].tobytes(), *numbers, hashed, data))
         return _packed_rows(out, names)
 
     pairs = deal.by(dealt, "group").cogroup(deal.by(told, "group"))
-    return pairs.applyInArrow(work, "shard int, key binary, mark binary, at binary, count binary, hash binary, bytes binary")
+    return pairs.applyInArrow(work, "shard int, key binary, mark binary, place binary, at binary, count binary, hash binary, bytes binary")
 
 
 def _owners(segments: list[bytes], first: np.ndarray) -> list[np.ndarray]:
@@ -317,13 +322,13 @@ def _spans(shards: DataFrame, deal: Deal) -> DataFrame:
 
     def shard(table: pa.Table) -> pa.Table:
         held = table.to_pylist()
-        unpack = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in held])
-        key, mark, value = unpack("key", np.int64), unpack("mark", np.int64), unpack("hash", np.uint64)
-        at, count = unpack("at", np.int32).astype(np.int64), unpack("count", np.int32).astype(np.int64)
+        places = [from_planes(r["place"], np.int32) for r in held]
+        key, mark = (np.concatenate([np.frombuffer(r[c], np.int64)[at] for r, at in zip(held, places, strict=True)]) for c in ("key", "mark"))
+        at, count = (np.concatenate([from_planes(r[c], np.int32) for r in held]).astype(np.int64) for c in ("at", "count"))
         if held[0]["shard"] < 0:
             row, start, end = np.arange(len(key)), at, at + count + LENGTH - 1
         else:
-            ends = np.cumsum(count + LENGTH - 1)
+            value, ends = np.concatenate([from_rising(r["hash"]) for r in held]), np.cumsum(count + LENGTH - 1)
             data, starts = b"".join([r["bytes"] for r in held]), np.append(0, ends[:-1])
             rows, lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             order = np.argsort(value, kind="stable")
