@@ -32,6 +32,8 @@ THRESHOLD = 0.7
 #: Bounds of the training sample and of the model.
 SAMPLE_DOCS, SAMPLE_BYTES = 6000, 1 << 15
 MIN_DOCS, PAIR_DOCS, SIGMAS, MAX_TERMS, RANK = 4, 128, 3.0, 1 << 14, 6
+#: Texts whose terms are counted together.
+COUNTED = 128
 #: Lengths in bytes of the stems that stand beside whole words.
 STEMS = (4, 5, 6)
 UPDATES, BATCH, RATE, PRIOR = 1500, 64, 0.02, -2.0
@@ -75,10 +77,19 @@ def terms(texts: list[bytes], keys: np.ndarray | None = None) -> tuple[np.ndarra
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def parameters(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the terms that have parameters, and which of them have a weight; of too many, the strongest and the most frequent."""
-    keys, inv = np.unique(h, return_inverse=True)
-    a, n = np.bincount(inv, y[doc], len(keys)), np.bincount(inv, minlength=len(keys))
+def parameters(texts: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the terms that have parameters, and which of them have a weight; of too many, the strongest and the most frequent.
+
+    Texts are counted some at a time, as the driver need not hold all their terms.
+    """
+    parts = []
+    for i in range(0, len(texts), COUNTED):
+        h, doc = terms(texts[i : i + COUNTED])
+        own, inv = np.unique(h, return_inverse=True)
+        parts.append((own, np.bincount(inv, y[i : i + COUNTED][doc], len(own)), np.bincount(inv, minlength=len(own))))
+    every, hits, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, inv = np.unique(every, return_inverse=True)
+    a, n = np.bincount(inv, hits, len(keys)), np.bincount(inv, seen, len(keys))
     share = y.mean()
     z = np.abs(a - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
     z[n < MIN_DOCS] = 0
@@ -116,13 +127,14 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> FactorizationMachine:
     if not rows or y.min() == y.max():
         return FactorizationMachine(np.zeros(0, np.uint64), -40.0, np.zeros(0), np.zeros((0, RANK)))
     texts = [r[0].encode() for r in rows]
-    keys, telling = parameters(*terms(texts), y)
+    keys, telling = parameters(texts, y)
     rng, size = np.random.default_rng(seed), len(keys)
     fm = FactorizationMachine(keys, PRIOR, np.zeros(size), rng.normal(0, 0.01, (size, RANK)))
     if not size:
         return fm
     h, doc = terms(texts, keys)
-    own, at = np.searchsorted(keys, h), np.searchsorted(doc, np.arange(len(y) + 1))
+    own, at = np.searchsorted(keys, h).astype(np.int32), np.searchsorted(doc, np.arange(len(y) + 1))
+    del h, doc
     heft = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     gw, gv = np.full(size, 1e-2), np.full((size, RANK), 1e-2)
     for _ in range(-(-UPDATES * BATCH // len(y))):
