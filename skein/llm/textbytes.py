@@ -60,6 +60,15 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of every ``width`` consecutive values: a rolling polynomial (Rabin-Karp), finalised."""
+    power, inverse = _powers(len(values) + 1)
+    h = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=h[1:])
+    n = max(0, len(values) - width + 1)
+    return mixed((h[width : width + n] - h[:n]) * inverse[:n])
+
+
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of True."""
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
