@@ -6,12 +6,13 @@ bytes that equal the byte some lags earlier (so that runs of one word show).  Le
 chunk, rectified, are max-pooled over the text and combined into one probability.
 
 A null or empty text is one chunk of padding, a score like any other.  Without labelled rows of both
-classes every score is 0.5.  Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.  Memory
+classes every score is 0.5.  Equal texts have equal scores in any batch; other columns are ignored; an empty table gives no rows.  Memory
 follows ``CHUNK`` or the longest text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,12 +72,23 @@ class ByteNetwork:
         y[at[1:] - 1] = -1e9  # the last half-chunk of a text only ends a chunk
         return y, np.maximum(np.maximum.reduceat(y, at[:-1], axis=0), 0), x, lags
 
+    def exact(self) -> ByteNetwork:
+        """Weights in float64 on a grid, so coarse that every sum of products in ``pooled`` is exact.
+
+        Then no order of summing, and so no batch that a text shares, changes its score.
+        """
+        grid = {"embed": 2.0**16, "first": 2.0**20, "second": 2.0**20, "lags": 2.0**20, "bias": 2.0**20}
+        return ByteNetwork({k: np.rint(np.clip(v.astype(np.float64), -32, 32) * grid[k]) / grid[k] if k in grid else v.astype(np.float64) for k, v in self.p.items()})
+
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out = [np.zeros(0)]
+        out: list[float] = []
         for i, j in chunks(texts, 1 << 19):
             _, top, _, _ = self.pooled(*laid_out(texts[i:j]))
-            out.append(sigmoid(top @ self.p["out"] + self.p["out_bias"]))
-        return np.concatenate(out).astype(float)
+            total = np.full(len(top), self.p["out_bias"])
+            for f in range(FILTERS):
+                total += top[:, f] * self.p["out"][f]
+            out += [1 / (1 + math.exp(-min(40.0, max(-40.0, x)))) for x in total.tolist()]
+        return np.array(out, float)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,7 +114,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 11) -> ByteNetwork:
     net = ByteNetwork(fresh(seed))
     y = np.array([r[1] for r in rows], np.float32)
     if not rows or y.min() == y.max():
-        return net
+        return net.exact()
     texts, p, rng = [r[0].encode() for r in rows], net.p, np.random.default_rng(seed)
     heft = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     p["out"][:] = rng.normal(0, 0.3, FILTERS)
@@ -142,7 +154,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 11) -> ByteNetwork:
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.999 * v[k] + 0.001 * d * d
                 p[k] = (p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return net
+    return net.exact()
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

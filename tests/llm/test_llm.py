@@ -234,7 +234,32 @@ def test_quality_is_the_same_in_any_batch():
         own = t + bytes((at[i + 1] - at[i]) * 8 - len(t))
         want = [[sum(j >= g and own[j] == own[j - g] != 0 for j in range(c * 8, c * 8 + 8)) / 8 for g in quality.LAGS] for c in range(len(own) // 8)]
         assert np.array_equal(lags[at[i] : at[i + 1]], np.array(want, np.float32))
-    assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-6)
+    assert net.score(texts).tolist() == [net.score([t])[0] for t in texts]
+    assert len(set(net.score([texts[-1]] * 40 + texts + [texts[-1]]).tolist()[:40])) == 1
+
+
+def test_quality_network_against_loops():
+    import math
+
+    rng = random.Random(6)
+    net = quality.fit([(prose(rng, 6) if i % 2 else "ab" * 20, i % 2) for i in range(60)])
+    p = net.p
+    for t in [b"", b"abcabcab", (prose(rng, 9) + " abcabcabcabcabc").encode()]:
+        data = t + bytes(-len(t) % 8 + (8 if t else 16))
+        halves = range(len(data) // 8)
+        share = lambda h, g: sum(j >= g and data[j] == data[j - g] != 0 for j in range(8 * h, 8 * h + 8)) / 8
+        top = []
+        for f in range(quality.FILTERS):
+            chunks = []
+            for h in halves[:-1]:
+                total = p["bias"][f]
+                for half, weights in ((h, p["first"]), (h + 1, p["second"])):
+                    total += sum(p["embed"][data[8 * half + j], e] * weights[j * quality.EMBED + e, f] for j in range(8) for e in range(quality.EMBED))
+                    total += sum(share(half, g) * p["lags"][k, f] for k, g in enumerate(quality.LAGS))
+                chunks.append(total)
+            top.append(max(0.0, *chunks))
+        x = p["out_bias"] + sum(a * b for a, b in zip(top, p["out"], strict=True))
+        assert abs(net.score([t])[0] - 1 / (1 + math.exp(-x))) < 1e-12
 
 
 def test_language_held_out(spark):
