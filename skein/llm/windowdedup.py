@@ -31,7 +31,9 @@ from .textbytes import CHUNK, as_bytes, from_rising, joined, mixed, prefix_hash,
 
 WIDTH = 20
 #: Bytes of text for a group of documents and for a bucket of hashes.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 10 << 20
+#: What a row counts besides its text.
+ROW_BYTES = 64
 NO_ID = (1 << 63) - 1
 SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -67,23 +69,27 @@ class Words:
 
 
 class Deal:
-    """Groups of documents: ranges of ids, with those of one crowded id split by a hash of the text."""
+    """Groups of documents: ranges of ids, with those of one crowded id split by their texts and row numbers.
+
+    The row numbers are those of the input's partitions, so the input should be a table, or its result staged.
+    """
 
     def __init__(self, docs: DataFrame):
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-        self.bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)
+        self.bytes = docs.agg(size).first()[0] or 0
         self.parts = max(12, self.bytes // GROUP_BYTES)
         cuts = docs.agg(F.percentile_approx(key, [k / self.parts for k in range(1, self.parts)], 20 * self.parts)).first()[0] or []
         crowded = {a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}
         bounds = sorted({*cuts, *(x - 1 for x in crowded)})
         rank = self._rank(key, bounds)
         alone = [k for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False), 1) if b == a + 1] + ([len(bounds)] if bounds and bounds[-1] == NO_ID - 1 else [])
-        size = {r.rank: r.bytes for r in docs.groupBy(rank.alias("rank")).agg(F.sum(F.octet_length("text")).alias("bytes")).collect()} if alone else {}
-        salts = {k: -(-size[k] // GROUP_BYTES) for k in alone if (size.get(k) or 0) > GROUP_BYTES}
+        sizes = {r.rank: r.bytes for r in docs.groupBy(rank.alias("rank")).agg(size.alias("bytes")).collect()} if alone else {}
+        salts = {k: -(-sizes[k] // GROUP_BYTES) for k in alone if sizes.get(k, 0) > GROUP_BYTES}
         salt = F.lit(0)
         if salts:
             of = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
-            salt = F.coalesce(F.pmod(F.xxhash64("text"), F.try_element_at(of, rank)), F.lit(0)).cast("int")
+            salt = F.coalesce(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.try_element_at(of, rank)), F.lit(0)).cast("int")
         self.docs = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), rank.alias("rank"), salt.alias("salt"))
 
     @staticmethod
