@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip_probability
+from .ranged import running_sums
 
 
 def rank_metrics(predicted: DataFrame, name: str, k: int = 10) -> DataFrame:
@@ -40,8 +41,8 @@ def topk_scores(scores: DataFrame, labels: DataFrame, row: str, item: str, score
 def binary_metrics(df: DataFrame, keys: list[str], label: str = "label", prob: str = "prob", threshold: float = 0.5) -> DataFrame:
     """ROC-AUC, average precision, F1, log loss, rows and positive rate by group.
 
-    Scores are first counted by distinct value, so ties are exact and the window runs over distinct
-    scores.  ROC-AUC is null if a group has one class.
+    Scores are first counted by distinct value, so ties are exact; the sums of all higher scores are running
+    sums over sorted ranges, so that no task holds a whole group.  ROC-AUC is null if a group has one class.
     """
     y, p = F.col(label), F.col(prob)
     loss = -(y * F.ln(clip_probability(p)) + (1 - y) * F.ln(1 - clip_probability(p)))
@@ -49,16 +50,14 @@ def binary_metrics(df: DataFrame, keys: list[str], label: str = "label", prob: s
     per = df.groupBy(*keys, p.alias("score")).agg(
         F.count("*").alias("n"), F.sum(y).alias("pos"), F.sum(loss).alias("loss"), F.sum(hit * y).alias("tp"), F.sum(hit).alias("flagged")
     )
-    up = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("tp_here", F.sum("pos").over(down)).withColumn("n_here", F.sum("n").over(down))
+    per = running_sums(per, keys, [F.desc("score")], {"n_above": "n", "pos_above": "pos"})
     n, pos = F.sum("n"), F.sum("pos")
-    ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
+    below = F.sum(F.col("pos") * (F.col("n_above") + (F.col("n") - 1) / 2))  # of each positive, the rows above it and half of those beside it
     return per.groupBy(*keys).agg(
         n.alias("num_rows"),
         (pos / n).alias("positive_rate"),
-        F.when((pos > 0) & (pos < n), (ranks - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("roc_auc"),
-        F.when(pos > 0, F.sum(F.col("pos") * F.col("tp_here") / F.col("n_here")) / pos).otherwise(0.0).alias("pr_auc"),
+        F.when((pos > 0) & (pos < n), (pos * n - below - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("roc_auc"),
+        F.when(pos > 0, F.sum(F.col("pos") * (F.col("pos_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))) / pos).otherwise(0.0).alias("pr_auc"),
         F.when(F.sum("flagged") + pos > 0, 2 * F.sum("tp") / (F.sum("flagged") + pos)).otherwise(0.0).alias("f1"),
         (F.sum("loss") / n).alias("logloss"),
     )

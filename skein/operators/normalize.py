@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path_part, normalize_text, numeric_bucket, parse_numeric_text, py_strip
+from .skewed import spread_join
 
 MAX_DEPTH, MAX_LEAVES = 8, 48
 
@@ -127,14 +128,14 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
 def with_signatures(events: DataFrame) -> DataFrame:
     """Events with token and signature only."""
     keys = payload_keys(events.select("event_json").distinct()).select("event_json", "json_top_keys")
-    df = events.join(keys, "event_json").withColumn("event_token", event_token(F.col("event_name")))
+    df = spread_join(events, keys, "event_json").withColumn("event_token", event_token(F.col("event_name")))
     return df.withColumn("event_signature", event_signature(F.col("event_token"), F.col("json_top_keys")))
 
 
 def normalize_events(events: DataFrame) -> DataFrame:
     """Events with token, signature and the parsed payload's columns."""
     parsed = parse_payloads(events.select("event_json").distinct())
-    df = events.join(parsed, "event_json")
+    df = spread_join(events, parsed, "event_json")
     df = df.withColumn("event_name_norm", py_strip(F.col("event_name"))).withColumn("event_token", event_token(F.col("event_name")))
     return df.withColumn("event_signature", event_signature(F.col("event_token"), F.col("json_top_keys")))
 

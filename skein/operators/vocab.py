@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import staged
+from .ranged import row_numbers
+from .skewed import HEAVY, spread_join
 
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[MASK]", "[CLS]")
 
@@ -18,28 +19,13 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return tokens.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("count"))
 
 
-def global_row_number(df: DataFrame, number: str, *order, runs: int = 16) -> DataFrame:
-    """Row numbers from 0 over the whole table in the given order, without one task that sorts it all.
-
-    Rows are range-partitioned and written once, as another plan of the same ranges may draw other bounds;
-    they are numbered inside their range, and the few range sizes are summed and joined.
-    """
-    ranged = staged(df.repartitionByRange(runs, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    inside = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__range", before.alias("__before"))
-    out = inside.join(F.broadcast(starts), "__range")
-    return out.withColumn(number, F.col("__before") + F.col("__n") - 1).drop("__range", "__n", "__size", "__before")
-
-
 def build_vocab(freq: DataFrame, min_freq: int = 2, max_size: int | None = None, special=SPECIAL_TOKENS) -> DataFrame:
     """(token, id): special tokens first, then by falling count and token, cut to ``max_size``."""
     spark = freq.sparkSession
     kept = freq.filter((F.col("count") >= min_freq) & ~F.col("token").isin(*special))
     if max_size is not None:
         kept = kept.orderBy(F.desc("count"), "token").limit(max(0, max_size - len(special)))
-    numbered = global_row_number(kept, "id", F.desc("count"), F.asc("token"))
+    numbered = row_numbers(kept, "id", F.desc("count"), F.asc("token"))
     head = spark.createDataFrame([(t, i) for i, t in enumerate(special)], "token string, id long")
     return head.unionByName(numbered.select("token", (F.col("id") + len(special)).alias("id")))
 
@@ -61,10 +47,14 @@ def coverage(freq: DataFrame, vocab: DataFrame, special=SPECIAL_TOKENS) -> DataF
 
 
 def encode_tokens(events: DataFrame, vocab: DataFrame, column: str, out: str = "event_token_id", unknown: str = "[UNK]") -> DataFrame:
-    """Events with the id of their token; tokens outside the vocabulary take the id of the unknown token."""
+    """Events with the id of their token; tokens outside the vocabulary take the id of the unknown token.
+
+    The smallest ids are the most frequent tokens, so these are the ones whose events are spread.
+    """
     unk = vocab.filter(F.col("token") == unknown).select(F.col("id").alias("__unk"))
     ids = vocab.select(F.col("token").alias(column), F.col("id").alias("__id"))
-    joined = events.join(ids, column, "left").join(F.broadcast(unk))
+    frequent = vocab.filter(F.col("id") < HEAVY).select(F.xxhash64("token").alias("heavy"))
+    joined = spread_join(events, ids, column, "left", frequent).join(F.broadcast(unk))
     return joined.withColumn(out, F.coalesce("__id", "__unk")).drop("__id", "__unk")
 
 

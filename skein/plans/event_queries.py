@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import GAP_BOUNDS, epoch_seconds, hash_share, hash_split, rounded_long, time_gap_id
-from ..operators import labels, normalize, sequences, splits, vocab
+from ..operators import labels, normalize, ranged, sequences, splits, vocab
 from ..sources import files, tables
 from ..sources.scratch import scratch_path
 from .base import DAYS, LAST_N, LENGTHS, MIN_EVENTS, SPANS, common, event_vocab, normalized, prefixes, query, sequence, signed, text, tokens
@@ -357,7 +357,7 @@ def w12_orders(spark, d):
 @query("q_t1_four_key_sort", common("SELECT user_id, event_timestamp, session_id, event_token_id, row_number() OVER (ORDER BY user_id, event_timestamp, session_id NULLS LAST, event_token_id) - 1 AS place FROM sq"))
 def t1(spark, d):
     rows = tokens(spark, d).select("user_id", "event_timestamp", "session_id", "event_token_id")
-    return vocab.global_row_number(rows, "place", F.asc("user_id"), F.asc("event_timestamp"), F.asc_nulls_last("session_id"), F.asc("event_token_id"))
+    return ranged.row_numbers(rows, "place", F.asc("user_id"), F.asc("event_timestamp"), F.asc_nulls_last("session_id"), F.asc("event_token_id"))
 
 
 @query("q_t3_top_tokens", "SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM conversations) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.timing import hash_split
 from ..functions.vectors import clip_probability, entropy, l2_normalize
-from ..operators import features, markov, metrics, normalize, prep, probes, report
+from ..operators import features, markov, metrics, normalize, prep, probes, ranged, report
 from ..sources import files, tables
 from ..sources.scratch import scratch_path
 from ..streaming.ingest import ingest_new_files
@@ -447,9 +447,7 @@ def a15_lift(spark, d):
 
 @query("q_t2_ordered_metrics", _CELLS + "SELECT *, row_number() OVER (ORDER BY target, prefix_len, model_name, split) - 1 AS place FROM m")
 def t2(spark, d):
-    from ..operators.vocab import global_row_number
-
-    return global_row_number(_cells(spark, d), "place", "target", "prefix_len", "model_name", "split", runs=8)
+    return ranged.row_numbers(_cells(spark, d), "place", "target", "prefix_len", "model_name", "split")
 
 
 @query("q_t5_balanced_head", _CELLS + "SELECT target, prefix_len, model_name, split FROM m QUALIFY row_number() OVER (PARTITION BY split ORDER BY target, prefix_len, model_name) <= 4")

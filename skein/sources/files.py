@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
+from ..operators.ranged import range_count
 
 #: Texts that stand for a missing value in a raw file.
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -55,13 +57,33 @@ def ingest_audit(raw: DataFrame, clean: DataFrame) -> DataFrame:
     return counts.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_out"))
 
 
+def file_order() -> Column:
+    """Rows of a file source by path, then by their place in the file, whatever the order in which splits are read.
+
+    Splits of a file are told by their first byte, rows of one split by the order in which a task reads them.
+    """
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
+def has_files(df: DataFrame) -> bool:
+    """Whether the rows still know the file they come from."""
+    try:
+        df.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return False
+    return True
+
+
 def clean_split_map(df: DataFrame, user_col: str, split_col: str, order: Column | None = None) -> DataFrame:
     """(user_id, split) with aliases resolved; unknown splits go; of several rows of a user the last one holds.
 
-    The last is that of the largest ``order``, by default the row's place in the input.
+    The last is that of the largest ``order``: by default ``file_order`` if the rows come straight from files, else the
+    row's place among the partitions.
     """
     alias = F.create_map(*[F.lit(x) for pair in SPLIT_ALIASES.items() for x in pair])
-    place = F.monotonically_increasing_id() if order is None else order
+    if order is None:
+        order = file_order() if has_files(df) else F.monotonically_increasing_id()
+    place = order
     rows = df.select(F.col(user_col).cast("string").alias("user_id"), F.lower(py_strip(F.col(split_col))).alias("raw"), place.alias("place"))
     rows = rows.select("user_id", alias[F.col("raw")].alias("split"), "place").na.drop(subset=["user_id", "split"])
     return rows.groupBy("user_id").agg(F.max_by("split", "place").alias("split"))
@@ -81,7 +103,9 @@ def read_metrics(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def sorted_export(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Events in the order user, time, session, token: ranges of users, each sorted."""
+    """Events in the order user, time, session, token: ranges of all four, so that a user may span several, each sorted.
+
+    There are as many ranges as the bytes of the tables behind ``df`` ask for.
+    """
     order = ["user_id", "event_timestamp", F.asc_nulls_last("session_id"), "event_token_id"]
-    ranged = df.repartitionByRange(partitions, "user_id") if partitions else df.repartitionByRange("user_id")
-    return ranged.sortWithinPartitions(*order)
+    return df.repartitionByRange(partitions or range_count(df), *order).sortWithinPartitions(*order)
