@@ -1,17 +1,11 @@
-"""Tabular and hashed features of sequences, and their decomposition."""
+"""Tabular and hashed features of sequences."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..sources.scratch import staged
 from .markov import markov_features
 
 
@@ -74,97 +68,5 @@ def stacked_cells(df: DataFrame, keys: list[str], width: int = 262_144, dense: t
     return df.select(*keys, F.concat(hashed, tail).alias("idx"), F.concat(ones, numbers).alias("val"))
 
 
-#: Rows of cells that numpy multiplies at once, and the passes over the table before the last two.
-CELLS, PASSES, OVERSAMPLE = 1 << 16, 4, 10
-
-
-def _batches(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First and end row, row numbers, columns and values of the cells, some rows at a time."""
-    idx, val = batch.column(at), batch.column(at + 1)
-    size = np.diff(idx.offsets.to_numpy())
-    cols, vals = idx.flatten().to_numpy(), val.flatten().to_numpy()
-    end = np.append(0, np.cumsum(size))
-    i = 0
-    while i < len(size):
-        j = max(i + 1, int(np.searchsorted(end, end[i] + CELLS, "right")) - 1)
-        yield i, j, np.repeat(np.arange(j - i), size[i:j]), cols[end[i] : end[j]], vals[end[i] : end[j]]
-        i = j
-
-
-def _times(row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of the weighted vectors by row; rows come in order."""
-    out = np.zeros((rows, weight.shape[1]))
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(weight, first)
-    return out
-
-
-def truncated_svd(cells: DataFrame, keys: list[str], k: int = 128, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(keys + embedding, one row of variance figures) of rows of ``idx`` and ``val`` cells.
-
-    Randomised subspace iteration: each pass multiplies every row with a basis of k + 10 columns and
-    sums the products by cell, first in each task, then over all.  The basis has a row for each cell
-    that occurs, so it is bounded by the hashed width (145 MB for 262,144 cells and k = 128) and is broadcast.
-    """
-    spark = cells.sparkSession
-    cells = staged(cells, "cells")
-    seen = np.array([r.c for r in cells.select(F.explode("idx").alias("c")).distinct().orderBy("c").collect()], np.int64)
-    rows = cells.count()
-    k = max(1, min(k, len(seen) - 1, rows - 1))
-    wide = min(len(seen), k + OVERSAMPLE)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(seen), wide)))[0]
-
-    def products(matrix: np.ndarray) -> np.ndarray:
-        """X'X times the matrix."""
-        shared = spark.sparkContext.broadcast((seen, matrix.astype(np.float32)))
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, m = shared.value
-            total = np.zeros(m.shape)
-            for batch in batches:
-                for i, j, row, col, val in _batches(batch, 0):
-                    at = np.searchsorted(known, col)
-                    y = _times(row, m[at] * val[:, None], j - i)
-                    np.add.at(total, at, y[row] * val[:, None])
-            some = np.flatnonzero(np.abs(total).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], names=["cell", "sums"])
-
-        def added(table: pa.Table) -> pa.Table:
-            order = np.argsort(cell := table.column("cell").to_numpy(), kind="stable")
-            sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64).reshape(len(cell), -1)[order]
-            first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
-            return pa.table({"slice": table.column("slice").take(first), "cell": cell[order][first], "sums": pa.array([r.tobytes() for r in np.add.reduceat(sums, first)], pa.binary())})
-
-        parts = cells.select("idx", "val").mapInArrow(work, "cell long, sums binary").withColumn("slice", F.col("cell") % 64)
-        found = parts.groupBy("slice").applyInArrow(added, "slice long, cell long, sums binary").toArrow()
-        out = np.zeros(matrix.shape)
-        out[found.column("cell").to_numpy()] = np.frombuffer(b"".join(found.column("sums").to_pylist()), np.float64).reshape(-1, matrix.shape[1])
-        return out
-
-    for _ in range(PASSES):
-        basis = np.linalg.qr(products(basis))[0]
-    value, inner = np.linalg.eigh(basis.T @ products(basis))
-    v = basis @ inner[:, np.argsort(-value)[:k]]
-    v *= np.sign(v[np.abs(v).argmax(0), np.arange(k)])
-    shared = spark.sparkContext.broadcast((seen, v.astype(np.float32)))
-    schema = T.StructType([*cells.select(*keys).schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, m = shared.value
-        for batch in batches:
-            for i, j, row, col, val in _batches(batch, len(keys)):
-                flat = _times(row, m[np.searchsorted(known, col)] * val[:, None], j - i).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * k), pa.array(flat.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[: len(keys)]], lists], names=schema.names)
-
-    out = cells.select(*keys, "idx", "val").mapInArrow(project, schema)
-    kept = out.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("kept_variance"))
-    each = cells.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode(F.arrays_zip("idx", "val")).alias("c")).groupBy("r", "c.idx").agg(F.sum("c.val").alias("x"))
-    spread = each.groupBy("idx").agg((F.sum(F.col("x") * F.col("x")) / rows - F.pow(F.sum("x") / rows, 2)).alias("v")).agg(F.sum("v").alias("total_variance"))
-    figures = kept.join(F.broadcast(spread))
-    return out, figures.withColumn("explained_ratio", F.col("kept_variance") / F.col("total_variance"))
-
-
 def to_vector(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(column, lambda x: x.cast("double"))))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.timing import hash_split
 from ..functions.vectors import clip_probability, entropy, l2_normalize
-from ..operators import features, markov, metrics, normalize, prep, probes, ranged, report
+from ..operators import decompose, features, markov, metrics, normalize, prep, probes, ranged, report
 from ..sources import files, tables
 from ..sources.scratch import scratch_path
 from ..streaming.ingest import ingest_new_files
@@ -235,7 +235,7 @@ def _decomposed(spark, d):
     terms = features.hashed_terms(rows).select(*PREFIX_KEYS, "terms")
     joined = terms.join(dense, PREFIX_KEYS).select("user_id", "split", "prefix_len", "terms", *[F.col(c).alias(f"x_{c}") for c in _NUMBERS])
     cells = features.stacked_cells(joined, ["user_id", "split", "prefix_len"], dense=tuple(f"x_{c}" for c in _NUMBERS))
-    return features.truncated_svd(cells, ["user_id", "split", "prefix_len"])
+    return decompose.truncated_svd(cells, ["user_id", "split", "prefix_len"])
 
 
 @query("q_f4_truncated_svd")
@@ -248,6 +248,19 @@ def f5(spark, d):
     return _decomposed(spark, d)[1]
 
 
+@query("q_f4_energy", """SELECT l_orderkey, l_linenumber, CAST(2 * (l_quantity * l_quantity + l_linenumber * l_linenumber) + (100 * l_discount) * (100 * l_discount) + (100 * l_tax) * (100 * l_tax) AS BIGINT) AS energy
+  FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity, round(l_discount, 2) AS l_discount, round(l_tax, 2) AS l_tax FROM lineitem)""")
+def f4_energy(spark, d):
+    """Six columns of rank four in four components: each row keeps its whole squared length."""
+    rows = tables.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"])
+    names = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
+    number = {c: (F.round(F.col(c) * 100) if c in names[2:] else F.col(c)).cast("double") for c in names}
+    cells = rows.select("l_orderkey", "l_linenumber", F.array(*[F.lit(i) for i in range(6)]).alias("idx"), F.array(*[number[c] for c in [*names, *names[:2]]]).alias("val"))
+    out, _ = decompose.truncated_svd(cells, ["l_orderkey", "l_linenumber"], 4)
+    energy = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+    return out.select("l_orderkey", "l_linenumber", F.round(energy).cast("long").alias("energy"))
+
+
 def _dense(spark, d):
     rows = kept_prefixes(spark, d)
     return features.dense_features(rows, markov.markov_stats(_train(rows)), PREFIX_KEYS)

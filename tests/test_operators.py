@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import features, labels, markov, metrics, normalize, prep, probes, report, sequences, splits, vocab
+from skein.operators import decompose, features, labels, markov, metrics, normalize, prep, probes, report, sequences, splits, vocab
 from skein.sources import files
 from skein.streaming.ingest import ingest_new_files
 
@@ -134,7 +134,7 @@ def test_svd_matches_numpy(spark):
     x = (rng.random((60, 12)) < 0.4) * rng.integers(1, 4, (60, 12)).astype(float)
     cells = [(i, [j for j in range(12) for _ in range(int(row[j]))], [1.0] * int(row.sum())) for i, row in enumerate(x)]
     df = spark.createDataFrame([*cells, (60, [], [])], "k long, idx array<int>, val array<double>")
-    out, figures = features.truncated_svd(df, ["k"], 3)
+    out, figures = decompose.truncated_svd(df, ["k"], 3)
     z = np.array([r.embedding for r in out.orderBy("k").collect()])
     u, s, vt = np.linalg.svd(x)
     assert np.allclose(np.linalg.norm(z, axis=0), s[:3], rtol=1e-4) and np.allclose(np.abs(z[:60]), np.abs(x @ vt[:3].T), atol=1e-3) and not z[60].any()
