@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +10,7 @@ from ..functions.timing import hash_split
 from ..functions.vectors import clip_probability, entropy, l2_normalize
 from ..operators import decompose, features, markov, metrics, normalize, prep, probes, ranged, report
 from ..sources import files, tables
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, staged
 from ..streaming.ingest import ingest_new_files
 from .base import DAYS, LENGTHS, PREFIX_KEYS, common, kept_prefixes, prefixes, query, sequence, text
 
@@ -495,57 +493,108 @@ def _probe_table(spark, d):
     """Embeddings as users of one prefix length, with a binary target."""
     rows = tables.table(spark, d, "embeddings").filter("label IS NOT NULL")
     rows = rows.withColumn("user_id", F.col("vec_id").cast("string"))
-    return features.to_vector(rows, "embedding", "vector").select(
-        "user_id", hash_split(F.col("user_id")).alias("split"), F.lit(20).alias("prefix_len"), "vector", F.lit(True).alias("label_available_target"), (F.col("label") % 2).cast("int").alias("label_target")
+    return rows.select(
+        "user_id", hash_split(F.col("user_id")).alias("split"), F.lit(20).alias("prefix_len"), "embedding", F.lit(True).alias("label_available_target"), (F.col("label") % 2).cast("int").alias("label_target")
     )
 
 
-def _grid(spark, d, name, stages):
-    return probes.evaluation_grid({name: (_probe_table(spark, d), stages)}, ["target"], [20])
-
-
-def _linear(mode, n, **how):
-    stages = probes.preprocess(mode, "vector", "x", **how)
-    return [*stages, probes.logistic("x" if stages else "vector", n)]
+def _grid(spark, d, **probes_by_name):
+    table = _probe_table(spark, d)
+    return probes.evaluation_grid({name: probes.Probe(table, *how) for name, how in probes_by_name.items()}, ["target"], [20])
 
 
 @query("q_m1_preprocess_modes")
 def m1(spark, d):
-    modes = ("raw", "zscore", "l2", "l2_pca")
-    return report.union_all([_grid(spark, d, m, lambda n, m=m: _linear(m, n, pca=8, rows=n)) for m in modes])
+    return _grid(spark, d, **{m: ("logistic", m, 8) for m in ("raw", "zscore", "l2", "l2_pca")})
+
+
+_SHARE = "CAST(concat('0x', substr(sha256('42:' || CAST(vec_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+_TRAIN = f"FROM embeddings WHERE label IS NOT NULL AND {_SHARE} < 0.7"
+
+
+@query("q_m1_moments", f"""SELECT i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS num_rows FROM (SELECT CAST(unnest(range(len(embedding))) AS INTEGER) AS i, unnest(embedding)::DOUBLE AS x {_TRAIN}) GROUP BY i""")
+def m1_moments(spark, d):
+    """What standardizing rests on: mean and deviation of each column over a cell's training rows."""
+    grid = probes.Grid({"m": probes.Probe(_probe_table(spark, d))}, ["target"], [20])
+    (n, mean, cov), = probes.moments(grid, grid.train(("logistic",))).values()
+    rows = [(i, round(float(m), 6), round(float(v) ** 0.5, 6), int(n)) for i, (m, v) in enumerate(zip(mean, cov.diagonal(), strict=True))]
+    return spark.createDataFrame(rows, "i int, mean double, std double, num_rows long")
 
 
 @query("q_m2_logistic_probe")
 def m2(spark, d):
-    return _grid(spark, d, "main_mean_logreg", partial(_linear, "zscore"))
+    return _grid(spark, d, main_mean_logreg=("logistic", "zscore"))
+
+
+_FIT = f"""WITH RECURSIVE e AS (SELECT label, embedding {_TRAIN}), t AS (SELECT DISTINCT label AS target FROM e),
+  r AS (SELECT target, (e.label = target)::INT AS y, 10 * embedding[1]::DOUBLE AS x FROM e, t), n AS (SELECT target, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM r GROUP BY 1),
+  w AS (SELECT r.target, y, x, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w FROM r JOIN n ON r.target = n.target),
+  s AS (SELECT target, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM t UNION ALL
+    SELECT target, step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT s.target, s.step, s.a, s.b, sum(w * (p - y)) AS ga, sum(w * (p - y) * x) + any_value(s.b) AS gb, sum(w * p * (1 - p)) AS haa, sum(w * p * (1 - p) * x) AS hab, sum(w * p * (1 - p) * x * x) + 1 AS hbb
+      FROM (SELECT s.target, s.step, s.a, s.b, w.y, w.x, w.w, 1 / (1 + exp(-(s.a + s.b * w.x))) AS p FROM s JOIN w ON s.target = w.target WHERE s.step < 12) s GROUP BY 1, 2, 3, 4)),
+  z AS (SELECT * FROM s WHERE step = 12)
+  SELECT z.target, round(any_value(z.a), 6) AS intercept, round(any_value(z.b), 6) AS slope, round(sum(w * (ln(1 + exp(z.a + z.b * x)) - y * (z.a + z.b * x))) + any_value(z.b * z.b) / 2, 4) AS loss FROM z JOIN w ON z.target = w.target GROUP BY 1"""
+
+
+@query("q_m2_fitted_lines", _FIT)
+def m2_lines(spark, d):
+    """One probe a label on one number, all fitted together; a strictly convex loss has the same optimum in any engine."""
+    rows = tables.table(spark, d, "embeddings").filter("label IS NOT NULL").withColumn("user_id", F.col("vec_id").cast("string"))
+    targets = sorted(r.label for r in rows.select("label").distinct().collect())
+    table = rows.select(
+        "user_id", hash_split(F.col("user_id")).alias("split"), F.lit(20).alias("prefix_len"), F.array(F.col("embedding")[0].cast("double") * 10).alias("embedding"),
+        *[c for t in targets for c in ((F.col("label") == t).cast("int").alias(f"label_{t}"), F.lit(True).alias(f"label_available_{t}"))],
+    )
+    grid = probes.Grid({"line": probes.Probe(table)}, [str(t) for t in targets], [20])
+    train = grid.train(("logistic",))
+    fitted = probes.fit_logistic(grid, train)
+    lines = spark.createDataFrame([(i, int(grid.cells[i]["target"]), float(w[0]), float(w[1]), *probes.class_weights(grid.cells[i])) for i, w in fitted.items()], "cell int, target int, a double, b double, w0 double, w1 double")
+    margin = F.col("a") + F.col("b") * F.col("vector")[0]
+    rows = train.join(F.broadcast(lines), "cell").withColumn("one", F.when(F.col("label") == 1, F.col("w1")).otherwise(F.col("w0")) * (F.log1p(F.exp(margin)) - F.col("label") * margin))
+    out = rows.groupBy("target", "a", "b").agg(F.sum("one").alias("sum"))
+    return out.select("target", F.round("a", 6).alias("intercept"), F.round("b", 6).alias("slope"), F.round(F.col("sum") + F.col("b") * F.col("b") / 2, 4).alias("loss"))
 
 
 @query("q_m3_tabular_logistic")
 def m3(spark, d):
-    rows = _dense(spark, d)
-    columns = probes.feature_columns(rows)
-    table = probes.assembled(rows, columns, "vector")
-    return probes.evaluation_grid({"baseline_features_logreg_clean": (table, partial(_linear, "zscore"))}, [f"retention_{x}d" for x in DAYS], LENGTHS)
+    return probes.evaluation_grid({"baseline_features_logreg_clean": probes.Probe(_clean(_dense(spark, d)), "tabular")}, [f"retention_{x}d" for x in DAYS], LENGTHS)
+
+
+def _clean(rows):
+    """Keys, labels and the numbers that do not give the next event away."""
+    return rows.select("user_id", "split", "prefix_len", *[c for c in rows.columns if c.startswith("label_")], *probes.feature_columns(rows))
 
 
 @query("q_m4_boosted_trees")
 def m4(spark, d):
-    return _grid(spark, d, "boosted", lambda n: [probes.boosted_trees("vector")])
+    return _grid(spark, d, boosted=("boosted",))
 
 
 @query("q_m5_perceptron")
 def m5(spark, d):
-    width = len(tables.table(spark, d, "embeddings", ["embedding"]).first().embedding)
-    return _grid(spark, d, "mlp", lambda n: [*probes.preprocess("zscore", "vector", "x"), probes.perceptron("x", width)])
+    return _grid(spark, d, mlp=("perceptron", "zscore"))
 
 
 @query("q_m6_evaluation_grid")
 def m6(spark, d):
     table = _probe_table(spark, d)
-    models = {"plain": (table, partial(_linear, "raw")), "scaled": (table, partial(_linear, "zscore"))}
+    models = {"plain": probes.Probe(table), "scaled": probes.Probe(table, mode="zscore")}
     return probes.evaluation_grid(probes.chosen_models(models, ["plain", "scaled"]), ["target"], [20])
 
 
+@query("q_m7_fitted_models")
+def m7_fitted(spark, d):
+    """Every named model on its own table: pooled embeddings, the SVD, the features, and CLS with the SVD."""
+    rows = kept_prefixes(spark, d)
+    marks = rows.select("user_id", "split", "prefix_len", *[c for c in rows.columns if c.startswith("label_")])
+    vectors = staged(prep.token_vectors(_train(rows), 8), "vectors")
+    cls, mean = (marks.join(prep.pooled(rows, PREFIX_KEYS, vectors, how), PREFIX_KEYS) for how in ("cls+last", "mean"))
+    svd = marks.join(_decomposed(spark, d)[0], ["user_id", "split", "prefix_len"])
+    models = probes.named_models(cls, mean, svd, _dense(spark, d), leaking=True, perceptrons=True, mode="l2_standardize")
+    return probes.evaluation_grid(models, [f"retention_{x}d" for x in DAYS], LENGTHS)
+
+
 def _named(spark, d):
     """The named models over the embeddings: whole vectors as CLS and mean, halves as the SVD, two numbers as features."""
     rows = tables.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("user_id"), F.lit(20).alias("prefix_len"), "vec_id", "embedding", (F.col("label") % 2).alias("label_x"))
@@ -558,7 +607,8 @@ def _named(spark, d):
 def _sizes(models):
     """Rows of each model's table, its numbers a row and its kind of probe."""
     out = []
-    for name, (table, kind) in models.items():
+    for name, probe in models.items():
+        table, kind = probe.table, probe.kind
         width = F.size("embedding") if "embedding" in table.columns else F.lit(len(probes.feature_columns(table, leaking=True)))
         out.append(table.groupBy(width.cast("int").alias("width")).agg(F.count("*").alias("num_rows")).select(F.lit(name).alias("model_name"), F.lit(kind).alias("probe"), "width", "num_rows"))
     return report.union_all(out)

@@ -180,33 +180,6 @@ def test_pooling(spark):
     assert got == {"u": [9.0, 2.0, 3.0], "w": [7.0, 7.0, 7.0]}
 
 
-def test_preprocess_modes():
-    for mode, n in (("RAW", 0), ("zscore", 1), ("l2_then_standardize", 2), ("L2_then_PCA_then_standardize", 3)):
-        assert len(probes.preprocess(mode, "a", "b")) == n
-    assert probes.preprocess("l2_pca_standardize", "a", "b")[1].getK() == 64
-
-
-def test_probe_guards(spark):
-    with pytest.raises(ValueError):
-        probes.preprocess("odd", "a", "b")
-    with pytest.raises(ValueError):
-        probes.chosen_models({"a": 1}, ["b"])
-    df = spark.createDataFrame([("u", "train", 1, 5.0, 3, 1)], "user_id string, split string, prefix_len int, gap_mean double, next_event_token_id int, label_x int")
-    assert probes.feature_columns(df) == ["gap_mean"] and "next_event_token_id" in probes.feature_columns(df, leaking=True)
-    table = df.selectExpr("split", "prefix_len", "true AS label_available_x", "label_x")
-    with pytest.raises(ValueError):
-        probes.evaluation_grid({"m": (table, lambda n: [])}, ["x"], [1])
-
-
-def test_separable_probe(spark):
-    from pyspark.ml.linalg import Vectors
-
-    rows = [("train" if i % 3 else "test", Vectors.dense([float(i % 2) * 4 + 0.01 * i, 1.0]), 1, True, i % 2) for i in range(60)]
-    df = spark.createDataFrame(rows, ["split", "v", "prefix_len", "label_available_t", "label_t"])
-    out = probes.evaluation_grid({"m": (df, lambda n: [*probes.preprocess("zscore", "v", "x"), probes.logistic("x", n)])}, ["t"], [1]).first()
-    assert out.roc_auc == 1.0 and out.f1 == 1.0
-
-
 def test_best_by_puts_nan_last(spark):
     df = spark.createDataFrame([("t", "a", float("nan")), ("t", "b", 0.1), ("t", "c", None), ("t", "d", 0.1)], "target string, model_name string, auc double")
     assert report.best_by(df, ["target"], "auc").first().model_name == "b"
