@@ -12,6 +12,7 @@ from ..operators import decompose, features, markov, metrics, normalize, prep, p
 from ..sources import files, tables
 from ..sources.scratch import scratch_path, staged
 from ..streaming.ingest import ingest_new_files
+from ..streaming.manifest import read_output, run_incremental
 from .base import DAYS, LENGTHS, PREFIX_KEYS, common, kept_prefixes, prefixes, query, sequence, text
 
 
@@ -301,7 +302,17 @@ def d2(spark, d):
     return prep.mask_tokens(prep.model_inputs(_with_row(prefixes(spark, d)), _INPUT_LENGTH), "row", vocab_size=100)
 
 
-@query("q_d3_augmented_views")
+_DRAW = "CAST(concat('0x', substr(sha256('{k}:' || {of}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+_VIEWS = f"""SELECT user_id, prefix_len, view_kind, array_to_string(CASE view_kind WHEN 'crop' THEN ids[start + 1 : start + part] WHEN 'mask' THEN [CASE WHEN list_contains(p_all[1:part], i) THEN 2 ELSE ids[i + 1] END for i in range(n)]
+    ELSE list_concat(list_concat(ids[1:start], [ids[start + 1 + i] for i in p_part]), ids[start + part + 1 : n]) END, ' ') AS event_token_ids FROM (
+  SELECT *, (SELECT list(i ORDER BY {_DRAW.format(k="1p", of="v.row || ':' || CAST(i AS VARCHAR)")}, i) FROM (SELECT unnest(range(v.n)) AS i)) AS p_all, (SELECT list(i ORDER BY {_DRAW.format(k="1p", of="v.row || ':' || CAST(i AS VARCHAR)")}, i) FROM (SELECT unnest(range(v.part)) AS i)) AS p_part FROM (
+  SELECT *, CAST(floor({_DRAW.format(k="1start", of="row")} * (n - part + 1)) AS BIGINT) AS start FROM (
+  SELECT *, least(n, CASE view_kind WHEN 'crop' THEN greatest(1, round_even(n * (1 - 0.4::DOUBLE), 0)) WHEN 'reorder' THEN greatest(2, round_even(n * 0.3::DOUBLE, 0)) ELSE greatest(1, round_even(n * 0.3::DOUBLE, 0)) END)::BIGINT AS part FROM (
+  SELECT *, CASE WHEN u >= 1 - 0.3::DOUBLE THEN 'reorder' WHEN u >= 1 - (0.3::DOUBLE + 0.4::DOUBLE) THEN 'crop' ELSE 'mask' END AS view_kind FROM (
+  SELECT *, len(ids) AS n, {_DRAW.format(k="1op", of="row")} AS u FROM (SELECT *, user_id || ':' || CAST(prefix_len AS VARCHAR) AS row FROM px))))) v)"""
+
+
+@query("q_d3_augmented_views", common(_VIEWS))
 def d3(spark, d):
     rows = _with_row(prefixes(spark, d))
     return prep.augmented_view(rows, "row", {"mask": 0.3, "crop": 0.4, "reorder": 0.3}, "1").select("user_id", "prefix_len", "view_kind", text("event_token_ids"))
@@ -673,6 +684,32 @@ def s11(spark, d):
     return spark.read.parquet(path).select("user_id", "split", "num_events")
 
 
+_SHARDS = """WITH e AS (SELECT CAST(event_id % 3 AS INTEGER) AS shard, value FROM events), r AS (SELECT * FROM (VALUES (1, 0, 'processed', 20), (1, 1, 'processed', 20), (2, 0, 'skipped_existing', 20), (2, 1, 'skipped_existing', 20), (2, 2, 'processed', 20),
+  (3, 0, 'redone', 60), (3, 1, 'redone', 60), (3, 2, 'redone', 60), (4, 0, 'skipped_existing', 60), (4, 1, 'skipped_existing', 60), (4, 2, 'skipped_existing', 60)) t(turn, shard, status, least))
+  SELECT turn, shard, status, count(*) AS rows_in, count(*) FILTER (value >= least) AS rows_out, count(*) FILTER (value >= least AND value > 90) AS parse_errors, (SELECT count(*) FROM e WHERE value >= 60) AS rows_at_end FROM r JOIN e USING (shard) GROUP BY ALL"""
+
+
+@query("q_s6_incremental", _SHARDS)
+def s6(spark, d):
+    """Two files, then a third, then another setting, then nothing new."""
+    base = scratch_path(spark, "incremental")
+    events = tables.table(spark, d, "events", ["event_id", "value"])
+    keep = lambda df, how: df.filter(F.col("value") >= how["least"]).withColumn("error", F.when(F.col("value") > 90, "high").otherwise(""))
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{base}/waiting/s{k}")
+    fs, path = spark._jvm.org.apache.hadoop.fs, lambda p: spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{p}")
+    files_at = fs.FileSystem.get(path("").toUri(), spark._jsc.hadoopConfiguration())
+    files_at.mkdirs(path("in"))
+    reports = []
+    for turn, (arrive, least) in enumerate((((0, 1), 20), ((2,), 20), ((), 60), ((), 60)), 1):
+        for k in arrive:
+            files_at.rename(path(f"waiting/s{k}"), path(f"in/s{k}"))
+        told = run_incremental(spark, f"{base}/in/*/*.parquet", keep, {"least": least}, f"{base}/out", f"{base}/manifest", errors="error")
+        reports.append(staged(told.select(F.lit(turn).alias("turn"), F.regexp_extract("shard", "/s([0-9])/", 1).cast("int").alias("shard"), "status", "rows_in", "rows_out", "parse_errors"), "report"))
+    end = read_output(spark, f"{base}/out", f"{base}/manifest").agg(F.count("*").alias("rows_at_end"))
+    return report.union_all(reports).join(F.broadcast(end))
+
+
 @query("q_st1_stream_ingest", "SELECT CAST(user_id AS VARCHAR) AS user_id, 'event=' || trim(event_type) AS event_token FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
 def st1(spark, d):
     path = scratch_path(spark, "sink")
