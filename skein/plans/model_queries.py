@@ -74,6 +74,19 @@ def x16(spark, d):
     return normalize.parse_payloads(payloads).select("event_json", *arrays, "event_json_canonical", "json_parse_error")
 
 
+_BUCKET = "CASE WHEN n = 0 THEN 'zero' WHEN n < 0 THEN 'neg' ELSE 'pos_' || CAST(CAST(pow(2, floor(log2(n))) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(pow(2, floor(log2(n)) + 1) AS BIGINT) AS VARCHAR) END"
+
+
+@query("q_x16_props_payload", f"""SELECT event_json, array_to_string(ks, ' ') AS json_top_keys, array_to_string(ks, ' ') AS json_leaf_paths, array_to_string(['path=' || k for k in ks], ' ') AS attribute_tokens,
+  'num=' || ks[1] || ':' || {_BUCKET} AS numeric_bucket_tokens, '{{"' || ks[1] || '":' || CAST(n AS VARCHAR) || '}}' AS event_json_canonical, '' AS json_parse_error
+  FROM (SELECT DISTINCT props AS event_json, list_sort(json_keys(props)) AS ks, CAST(json_extract(props, '$.k') AS BIGINT) AS n FROM events)""")
+def x16_props(spark, d):
+    """The payloads of the events as they are."""
+    payloads = tables.events(spark, d).select("event_json").distinct()
+    arrays = [text(c) for c in ("json_top_keys", "json_leaf_paths", "attribute_tokens", "numeric_bucket_tokens")]
+    return normalize.parse_payloads(payloads).select("event_json", *arrays, "event_json_canonical", "json_parse_error")
+
+
 @query("q_x11_array_work", common("SELECT user_id, prefix_len, list_unique(ids) AS n_distinct, ids[-1] AS last, array_to_string(ids[2:4], ' ') AS part FROM px"))
 def x11(spark, d):
     ids = F.col("event_token_ids")

@@ -76,8 +76,11 @@ def _output(spark: SparkSession, target: str, runs: list[str]) -> DataFrame:
     return spark.read.option("basePath", target).parquet(*[f"{target}/run={r}" for r in runs])
 
 
-def read_output(spark: SparkSession, target: str, manifest: str) -> DataFrame:
-    """Rows of the latest run of each shard."""
-    latest = read_manifest(spark, manifest).select("run", F.sha2("shard", 256).alias("shard_key"))
+def read_output(spark: SparkSession, target: str, manifest: str, source: str | None = None) -> DataFrame:
+    """Rows of the latest run of each shard; with ``source``, of those that are still there."""
+    latest = read_manifest(spark, manifest)
+    if source:
+        latest = latest.join(source_files(spark, source), "shard", "left_semi")
+    latest = latest.select("run", F.sha2("shard", 256).alias("shard_key"))
     runs = [r.run for r in latest.select("run").distinct().collect()]
     return _output(spark, target, runs).join(latest, ["run", "shard_key"], "left_semi").drop("run", "shard_key", "__shard")
