@@ -359,9 +359,12 @@ def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
         pivot = choice.groupBy(*group).agg(F.min_by(F.struct(*columns), F.struct("place", "node")).alias("p"))
         pivot = pivot.select(*group, *[F.col(f"p.{c}").alias(f"{c}_o") for c in columns])
         star = open_.join(pivot, group).filter((F.col("part") != F.col("part_o")) & meets(F.lit(LEVELS)))
-        pairs = star.groupBy(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("n"))
         # near copies share most of a prefix; pairs that meet in less are left to the last turn
-        pairs = pairs.filter(F.col("shared") * 200 >= F.col("n") * (100 - percent)).select("a", "b")
+        pairs = star.groupBy("node", "node_o").agg(F.count("*").alias("shared"), F.min("n").alias("n")).filter(F.col("shared") * 200 >= F.col("n") * (100 - percent))
+        # of its pivots a set tries the one it shares most with and another, so that a turn has two pairs a set at most; later turns have the rest
+        tried = pairs.groupBy("node").agg(F.max_by("node_o", F.struct("shared", "node_o")).alias("most"), F.max_by("node_o", F.xxhash64("node", "node_o")).alias("any"))
+        tried = tried.select("node", F.explode(F.array("most", "any")).alias("node_o"))
+        pairs = tried.select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
         found = staged(verified(staged(pairs, "pairs"), classes, docs, width, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = staged(components(links), "labels")
