@@ -17,7 +17,7 @@ def held_out(folds: int, fold: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: int, most_bytes: int) -> list[tuple[str, int]]:
-    """At most ``most`` (text, label) rows outside the held-out fold, in the order of a hash of the id.
+    """At most ``most`` (text, label) rows outside the held-out fold, in the order of a hash of the id, however many rows an id has.
 
     Each class gives at most half of them, and texts longer than ``most_bytes`` are left to scoring.
     """
@@ -26,5 +26,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     parts = [marked.filter(F.col("label") == v).orderBy("order", "doc_id").limit(most // 2) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.orderBy("order", "doc_id", "text").select("text", "label").collect()
+    # an id may have many rows: the bound holds for rows
+    first = [texts.filter(F.col("label") == v).orderBy("order", "doc_id", "text").limit(most // 2) for v in (0, 1)]
+    rows = first[0].unionByName(first[1]).orderBy("order", "doc_id", "text").select("text", "label").collect()
     return [(r.text, int(r.label)) for r in rows]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import residuegemm, termpipeline, windowdedup
+from skein.llm import labelled, residuegemm, termpipeline, windowdedup
 
 SCHEMA = "doc_id long, text string, row string, removed string, key string, rank string, score string"
 
@@ -255,3 +255,29 @@ def test_query_digests(spark, tmp_path):
     got = windowdedup.op12_rabin_karp_windows(spark, str(tmp_path)).collect()
     want = [(i, len(words(t)), len(g), hashlib.sha256(" ".join(w for k, w in enumerate(words(t)) if k not in g).encode()).hexdigest()) for (i, t), g in zip(rows, brute_windows(rows, 20), strict=True)]
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got)
+
+
+# ------------------------------------------------------------------ pieces read inside workers
+
+
+def test_words_and_terms_in_small_pieces(monkeypatch):
+    """What a worker reads in pieces is the same whatever the pieces' size."""
+    rng = random.Random(9)
+    texts = [prose(rng, n).encode() for n in (0, 1, 300)] + [b"x" * 700 + b" y", b"", "né é".encode() * 40]
+    whole, counts = windowdedup.Words(texts), [termpipeline.term_counts(t) for t in texts]
+    monkeypatch.setattr(windowdedup, "CHUNK", 16)
+    monkeypatch.setattr(termpipeline, "PIECE", 7)
+    pieces = windowdedup.Words(texts)
+    assert (whole.value == pieces.value).all() and whole.count.tolist() == [len(words(t.decode())) for t in texts]
+    assert [termpipeline.term_counts(t) for t in texts] == counts == [collections.Counter(x.encode() for x in terms(t.decode())) for t in texts]
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """An id of very many rows does not lift the bound of a training sample."""
+    docs = docs_of(spark, [(1, f"same {k}") for k in range(300)] + [(k, f"text {k}") for k in range(2, 120)])
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1, 120)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, marks, "toxic", 3, 1, 40, 1000)
+    again = labelled.sample(docs.repartition(7), marks, "toxic", 3, 1, 40, 1000)
+    assert rows == again and len(rows) <= 40 and all(sum(y == v for _, y in rows) <= 20 for v in (0, 1))
+    every = labelled.sample(docs, marks, "toxic", 3, 1, 10_000, 1000)
+    assert len(every) > 300
