@@ -50,24 +50,45 @@ def test_empty_table(spark):
 def test_filter_gives_levels_back():
     rng = np.random.default_rng(1)
     key, n = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2), rng.integers(1, 5000, 3000)
-    size, buckets = 64 * 2000, 4
-    bits = np.zeros((buckets, size), bool)
-    f = bloomlm.Filter(np.zeros(buckets * size // 8, np.uint8), buckets)
-    q = bloomlm.level(n)
-    for b in range(buckets):
-        for x in range(1, int(q.max()) + 1):
-            own = key[((key >> f.shift) == b) & (q >= x)]
-            for probe in range(bloomlm.PROBES):
-                bits[b][f.places(own, x, probe, np.uint64(size)).astype(np.int64)] = True
-    f.bits = np.packbits(bits, axis=1, bitorder="little").reshape(-1)
+    buckets, shift, q = 4, 62, bloomlm.level(n)
+    parts = [bloomlm.built(key[own], n[own]) for own in ((key >> np.uint64(shift)) == b for b in range(buckets))]
+    f = bloomlm.Filter(np.concatenate(parts), np.array([len(x) * 8 for x in parts]), shift)
     found = f.find(key)
     assert (found >= q).all() and (found == q).mean() > 0.99
     assert (f.find(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.02
+    for b, bits in enumerate(parts):  # a bucket alone answers as it does among the others
+        own = (key >> np.uint64(shift)) == b
+        assert (bloomlm.Filter(bits, np.array([len(bits) * 8]), 0).find(key[own]) == found[own]).all()
 
 
-def test_score_uses_all_ngrams(spark, monkeypatch):
-    """Rare words and pairs seen once count, however small a filter had been."""
-    monkeypatch.setattr(bloomlm, "MOST_BITS", 1 << 10, raising=False)
+def test_scores_are_those_of_the_filter_by_either_route(spark, monkeypatch):
+    """Broadcast or dealt, the same scores; and they follow the bits, not the counts."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.randrange(1, 40))), None, None, 0, "", "") for i in range(120)] + [(None, "w1 w2", None, None, 0, "", ""), (500, None, None, None, 0, "", ""), (501, "long " * 30_000, None, None, 0, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(bloomlm, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(bloomlm, "BUCKET_BYTES", 1500)
+    whole = sorted(map(repr, bloomlm.score(df).collect()))
+    plan = lambda: bloomlm.score(df)._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow [")
+    assert plan() == 1
+    monkeypatch.setattr(bloomlm, "BROADCAST_BYTES", 0)
+    assert plan() == 2
+    assert sorted(map(repr, bloomlm.score(df).collect())) == whole
+    full = bloomlm.Filter(np.full(8, 255, np.uint8), np.array([64]), 0)
+    none = bloomlm.Filter(np.zeros(8, np.uint8), np.array([64]), 0)
+    key = np.arange(5, dtype=np.uint64)
+    assert (full.find(key) == bloomlm.LEVELS).all() and not none.find(key).any()
+
+
+def test_texts_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(bloomlm, "BLOCK_BYTES", 64)
+    rows = [(i, "a b " * (2000 if i == 3 else 2), None, None, 0, "", "") for i in range(20)]
+    got = {r.doc_id: r for r in bloomlm.score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3].n_tokens == 4001 and got[3].n_known == 4001 and len(got) == 20
+
+
+def test_score_uses_all_ngrams(spark):
+    """Rare words and pairs seen once count."""
     rng = random.Random(8)
     rows = [(i, " ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(20)), None, None, 0, "", "") for i in range(150)]
     c, two, texts = collections.Counter(), collections.Counter(), 0
