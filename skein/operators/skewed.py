@@ -29,7 +29,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     heavy = F.broadcast((heavy if heavy is not None else heavy_keys(left, on)).limit(HEAVY))
     marked = lambda df: df.join(heavy, F.xxhash64(F.col(on)) == F.col("heavy"), "left")
     crowded = F.col("heavy").isNotNull()
-    spread = F.when(crowded, F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    spread = F.when(crowded, F.pmod(F.xxhash64(*hashed), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     copies = F.when(crowded, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted = marked(left).select(*left.columns, spread.alias("__salt"))
     copied = marked(right).select(*right.columns, F.explode(copies).alias("__salt"))
