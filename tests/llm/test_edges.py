@@ -192,7 +192,8 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
 def test_query_matches_sql(spark, name):
     data = "/root/testdata/sf0.001"
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     want = duck.sql(entry.SQL[name])
     got = entry.QUERIES[name](spark, data).select(*want.columns).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(want.fetchall())
