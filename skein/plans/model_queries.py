@@ -44,6 +44,13 @@ def x3(spark, d):
     return raw.select("event_id", X.parse_numeric_text(F.col("s")).alias("number"))
 
 
+@query("q_x3_props_numbers", "SELECT event_id, TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE) AS number FROM events")
+def x3_props(spark, d):
+    """The numbers of the payloads as they are."""
+    raw = tables.table(spark, d, "events", ["event_id", "props"])
+    return raw.select("event_id", X.parse_numeric_text(F.get_json_object("props", "$.k")).alias("number"))
+
+
 _VALUE = "CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN -value WHEN 2 THEN 0 ELSE value / 1000 END"
 
 
