@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.timing import hash_split
@@ -13,7 +12,7 @@ from ..sources import files, tables
 from ..sources.scratch import scratch_path, staged
 from ..streaming.ingest import ingest_new_files
 from ..streaming.manifest import read_output, run_incremental
-from .base import DAYS, LENGTHS, PREFIX_KEYS, common, kept_prefixes, prefixes, query, sequence, text
+from .base import DAYS, LENGTHS, PREFIX_KEYS, common, kept_prefixes, prefixes, query, text
 
 
 def rounded(df, *columns, digits: int = 6):

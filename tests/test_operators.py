@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import decompose, features, labels, markov, metrics, normalize, prep, probes, report, sequences, splits, vocab
+from skein.operators import decompose, features, labels, markov, metrics, normalize, prep, report, sequences, splits, vocab
 from skein.sources import files
 from skein.streaming.ingest import ingest_new_files
 
