@@ -335,7 +335,7 @@ def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
             & (F.col("place_o") < F.col("n_o") - overlap + level)
         )
 
-    columns = ("node", "n", "place", "need", "part")
+    columns, level = ("node", "n", "place", "need", "part"), F.least("need", "need_o")
     links, labels, rows, expected = None, None, met.count(), None
     while True:
         if labels is None:
@@ -358,9 +358,9 @@ def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
             choice = open_
         pivot = choice.groupBy(*group).agg(F.min_by(F.struct(*columns), F.struct("place", "node")).alias("p"))
         pivot = pivot.select(*group, *[F.col(f"p.{c}").alias(f"{c}_o") for c in columns])
-        star = open_.join(pivot, group).filter((F.col("part") != F.col("part_o")) & meets(F.lit(LEVELS)))
-        # near copies share most of a prefix; pairs that meet in less are left to the last turn
-        pairs = star.groupBy("node", "node_o").agg(F.count("*").alias("shared"), F.min("n").alias("n")).filter(F.col("shared") * 200 >= F.col("n") * (100 - percent))
+        # a pair that may link is tried, also one near the threshold: left to the last turn, it would meet all of its group there
+        star = open_.join(pivot, group).filter((F.col("part") != F.col("part_o")) & meets(level))
+        pairs = star.groupBy("node", "node_o").agg(F.count("*").alias("shared"), F.max(level).alias("level")).filter("shared >= level")
         # of its pivots a set tries the one it shares most with and another, so that a turn has two pairs a set at most; later turns have the rest
         tried = pairs.groupBy("node").agg(F.max_by("node_o", F.struct("shared", "node_o")).alias("most"), F.max_by("node_o", F.xxhash64("node", "node_o")).alias("any"))
         tried = tried.select("node", F.explode(F.array("most", "any")).alias("node_o"))
@@ -371,7 +371,6 @@ def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
     largest = now.join(tokens.select("token", "largest"), "token").withColumn("outside", F.col("part") != F.col("largest")).drop("largest")
     outside = largest.filter("outside").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     other = largest.select("token", "band", *[F.col(c).alias(f"{c}_o") for c in (*columns, "outside")])
-    level = F.least("need", "need_o")
     once = ~F.col("outside_o") | (F.col("node") < F.col("node_o"))
     cross = outside.join(other, ["token", "band"]).filter((F.col("part") != F.col("part_o")) & once & meets(level))
     pairs = cross.groupBy(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).agg(F.count("*").alias("shared"), F.max(level).alias("level"))
