@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import staged  # noqa: F401  (used by the operators)
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def drop_staged(*frames: DataFrame) -> None:

@@ -1,8 +1,11 @@
 """A large family of copies near the threshold of each other."""
 
 import random
+import tracemalloc
 
-from skein.llm import ngramjoin
+import numpy as np
+
+from skein.llm import ngramjoin, toxicity
 
 
 def test_members_near_the_threshold_meet_a_pivot_and_not_each_other(spark, monkeypatch):
@@ -25,3 +28,16 @@ def test_members_near_the_threshold_meet_a_pivot_and_not_each_other(spark, monke
     out = ngramjoin.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
     assert {(r.doc_id, r.component_id) for r in out} == {(k, 0) for k in range(61)}  # all link with the first only
     assert sum(n for name, n in made if name == "pairs") <= 2 * len(rows)
+
+
+def test_working_memory_follows_the_chunk_and_not_the_batch():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(300)).encode() for _ in range(1500)]
+    keys = np.arange(1, 1000, dtype=np.uint64) << np.uint64(50)
+    for work in (lambda: toxicity.terms(texts, keys), lambda: [None for _ in ngramjoin.shingle_sets(texts, 5)]):
+        work()
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 24 << 20
