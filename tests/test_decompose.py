@@ -1,6 +1,7 @@
 """The decomposition in slices and panels against numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,26 @@ def test_svd_in_blocks(spark, monkeypatch, slices, panels):
     assert abs(f.explained_ratio - z.var(0).sum() / x.var(0).sum()) < 1e-5 and f.kept_variance < f.total_variance
 
 
+def test_rows_as_dense_matrices_give_the_same(spark, monkeypatch):
+    """Few occurring cells are multiplied as dense rows, many as single cells; the sums are the same."""
+    rng = np.random.default_rng(4)
+    cells = sparse(spark, rng.integers(0, 3, (300, 25)) * (rng.random((300, 25)) < 0.7), 1)
+    layout = decompose.Layout(np.arange(25) * 7, 6)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in cells.select("idx", "val").collect()])
+
+    class Shared:
+        value = rng.standard_normal((25, 6)).astype(np.float32)
+
+    taken = []
+    dense = decompose._dense
+    monkeypatch.setattr(decompose, "_dense", lambda *a: taken.append(dense(*a)) or taken[-1])
+    got = []
+    for most in (32, 0):
+        monkeypatch.setattr(decompose, "DENSE", most)
+        got.append([np.frombuffer(m.as_py()) for b in decompose._partial_sums(Shared, 0, layout)(iter([batch])) for m in b.column(2)])
+    assert [x is not None for x in taken] == [True, False] and np.allclose(got[0], got[1])
+
+
 def test_svd_reconstructs(spark, monkeypatch):
     """Rows of rank 5 are kept whole by 5 components, whatever the slices."""
     rng = np.random.default_rng(2)

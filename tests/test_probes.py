@@ -1,7 +1,10 @@
 """Probes of the evaluation grid: fits of many cells at once against single ones, learners against brute force."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from skein.operators import learners, probes
@@ -95,6 +98,47 @@ def test_number_of_jobs_does_not_follow_the_cells(spark):
     assert many <= few + 3  # 36 cells
 
 
+def test_length_is_worked_out_once_a_row(spark):
+    """The plan holds one sum of squares; one inside the division would run again for each number of the vector."""
+    x, y = noisy(6, 20, 7)
+    x[3] = 0
+    df = table(spark, x, y)
+    rows = df.select("user_id", probes._inputs(probes.Probe(df, mode="l2")).alias("v"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose([r.v for r in rows.orderBy("user_id").collect()], x / np.where(length > 0, length, 1))
+
+
+@pytest.mark.parametrize("spread", [1e-3, 1e-7])
+def test_fits_settle_on_columns_with_little_spread(spark, monkeypatch, spread):
+    """Columns that are 1 but for a little have the same fit as that little alone, in as few steps."""
+    z, y = noisy(12, 1200, 4)
+    z = (z - z.mean(0)) / z.std(0)
+    df = table(spark, 1 + z * spread, y)
+    grid = probes.Grid({"m": probes.Probe(df, mode="standardize")}, ["t"], [1])
+    calls, summed = [], probes.Grid.summed
+    monkeypatch.setattr(probes.Grid, "summed", lambda *a: calls.append(1) or summed(*a))
+    train = grid.train(("logistic",))
+    (n, _, cov), = probes.moments(grid, train).values()
+    mine = np.arange(len(y)) % 4 < 2
+    near = z[mine] * spread
+    assert n == mine.sum() and np.allclose(np.diag(cov), near.var(0), rtol=1e-6)
+    calls.clear()
+    weights = probes.fit_logistic(grid, train)[0]
+    assert len(calls) < 12
+    have = 1 / (1 + np.exp(-(weights[0] + (1 + near) @ weights[1:])))
+    assert np.allclose(have, optimum(near, y[mine], "standardize"), atol=1e-6)
+
+
+def test_each_sampled_cell_has_a_task_of_its_own(spark, monkeypatch):
+    x, y = noisy(13, 160)
+    df = table(spark, x, y).withColumn("prefix_len", F.explode(F.array(*[F.lit(k) for k in range(1, 7)])))
+    grid = probes.Grid({"m": probes.Probe(df, "boosted")}, ["t"], list(range(1, 7)))
+    monkeypatch.setattr(probes, "BoostedTrees", lambda x, y: TaskContext.get().partitionId())
+    found = probes.fit_sampled(grid, grid.train(("boosted",)))
+    assert len(found) == 6 == len({pickle.loads(b) for b in found.values()})
+
+
 # ------------------------------------------------------------------ boosted trees
 
 
