@@ -8,7 +8,7 @@ pattern (contractions, letters, numbers, signs, each with a leading space; white
 Null text is empty and has no tokens.  A pre-token of any length is merged in n log n steps.
 Repeated rows give repeated results; an empty table gives none; other columns are ignored by the
 digests and carried by ``encoded``, whose own columns replace others of their names.  Memory follows
-``CHUNK`` or the longest text, and the cache of merged pre-tokens is bounded by twice ``CACHE``.
+``CHUNK`` or the longest text, and the cache of merged pre-tokens is bounded by twice ``CACHE`` or ``WIDE_CACHE``.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from .staging import small_batches
 from .textbytes import CHUNK, as_bytes, chunks, mixed, prefix_hash, span_hash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens whose merges a worker remembers, in each of two generations.
-CACHE = 60_000
+#: Pre-tokens whose merges a worker remembers, in each of two generations: beside whole documents with their ids, and
+#: where only digests leave the worker, which has the memory for more of them.
+CACHE, WIDE_CACHE = 60_000, 240_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -112,8 +113,8 @@ def pretoken_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Codec:
     """The vocabulary with its perfect hash; shared with workers by broadcast."""
 
-    def __init__(self, entries: list[bytes]):
-        self.entries = entries
+    def __init__(self, entries: list[bytes], remembered: int = CACHE):
+        self.entries, self.remembered = entries, remembered
         data = np.frombuffer(b"".join(entries), np.uint8)
         ends = np.cumsum([len(e) for e in entries])
         keys = span_hash(prefix_hash(data), np.concatenate([[0], ends[:-1]]), ends)
@@ -130,10 +131,10 @@ class Codec:
         self.older: dict[bytes, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return self.entries, self.hash, self.ids
+        return self.entries, self.remembered, self.hash, self.ids
 
     def __setstate__(self, state):
-        self.entries, self.hash, self.ids = state
+        self.entries, self.remembered, self.hash, self.ids = state
         self._set()
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -186,7 +187,7 @@ class Codec:
                 piece = raw[s[first[k]] : e[first[k]]]
                 found = cache.get(piece)
                 if found is None:
-                    if len(cache) >= CACHE:
+                    if len(cache) >= self.remembered:
                         self.older, self.cache = cache, {}
                         cache = self.cache
                     found = cache[piece] = self.older.get(piece) or self.merge(piece)
@@ -217,15 +218,15 @@ class Codec:
                 yield sum([size[k] for k in doc]), sha(b" ".join([text[k] for k in doc])).hexdigest(), sha(b"".join([back[k] for k in doc])).hexdigest()
 
 
-def load(path: str | None = None) -> Codec:
-    return Codec(read_ranks(path or public_tokenizers.path(VOCABULARY)))
+def load(path: str | None = None, remembered: int = CACHE) -> Codec:
+    return Codec(read_ranks(path or public_tokenizers.path(VOCABULARY)), remembered)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(load(path))
+    shared = spark.sparkContext.broadcast(load(path, WIDE_CACHE))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

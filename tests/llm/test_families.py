@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 
-from skein.llm import ngramjoin, toxicity
+from skein.llm import bytebpe, ngramjoin, toxicity
 
 
 def test_members_near_the_threshold_meet_a_pivot_and_not_each_other(spark, monkeypatch):
@@ -41,3 +41,24 @@ def test_working_memory_follows_the_chunk_and_not_the_batch():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 24 << 20
+
+
+def test_digests_remember_merges_of_a_wide_vocabulary(spark, monkeypatch):
+    """Merges are done once a word while its generation is remembered; the query's workers remember more than the pipeline's."""
+    rng = random.Random(8)
+    words = [("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9))).encode() for _ in range(500)]
+    texts, merged, merge = [b" ".join(words)] * 3, [], bytebpe.Codec.merge
+    monkeypatch.setattr(bytebpe.Codec, "merge", lambda self, piece: merged.append(piece) or merge(self, piece))
+    rows = []
+    for remembered in (600, 40):
+        merged.clear()
+        codec = bytebpe.load(None, remembered)
+        rows.append([r for t in texts for r in codec.digests([t])])
+        rows.append(len(merged))
+    assert rows[0] == rows[2] and rows[1] <= 501 < 1000 < rows[3]
+    sizes, load = [], bytebpe.load
+    monkeypatch.setattr(bytebpe, "load", lambda *a: sizes.append(load(*a).remembered) or load(*a))
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    bytebpe.encode_digests(docs)
+    bytebpe.encoded(docs)
+    assert sizes == [bytebpe.WIDE_CACHE, bytebpe.CACHE] and sizes[0] > sizes[1]
