@@ -130,6 +130,26 @@ def test_fits_settle_on_columns_with_little_spread(spark, monkeypatch, spread):
     assert np.allclose(have, optimum(near, y[mine], "standardize"), atol=1e-6)
 
 
+def test_models_of_the_same_vectors_share_their_rows(spark, monkeypatch):
+    """A row is written once for all targets and for all models that read the same table, turned to unit length or not."""
+    x, y = noisy(14, 120)
+    df = table(spark, x, y).withColumn("label_s", F.when(F.col("label_t") == 1, 0).when(F.col("user_id") > "u00010", 1)).withColumn("label_available_s", F.col("user_id") < "u00100")
+    made, real = [], probes.staged
+
+    def counted(rows, name):
+        made.append((name, real(rows, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(probes, "staged", counted)
+    grid = probes.Grid({"a": probes.Probe(df), "b": probes.Probe(df, "boosted"), "c": probes.Probe(df, mode="l2")}, ["t", "s"], [1])
+    assert [(name, rows.count()) for name, rows in made] == [("grid", 2 * len(y))]
+    assert [(c["model_name"], c["target"]) for c in grid.cells] == [(m, t) for m in "abc" for t in "st"]
+    known = df.filter("label_available_s AND label_s IS NOT NULL").count()
+    assert {r.cell: r["count"] for r in grid.rows.groupBy("cell").count().collect()} == {i: known if c["target"] == "s" else len(y) for i, c in enumerate(grid.cells)}
+    train = df.filter("split = 'train' AND label_available_s AND label_s IS NOT NULL")
+    assert grid.cells[0]["n"] == train.count() and grid.cells[0]["pos"] == train.agg(F.sum("label_s")).first()[0]
+
+
 def test_each_sampled_cell_has_a_task_of_its_own(spark, monkeypatch):
     x, y = noisy(13, 160)
     df = table(spark, x, y).withColumn("prefix_len", F.explode(F.array(*[F.lit(k) for k in range(1, 7)])))
